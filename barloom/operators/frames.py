@@ -110,12 +110,15 @@ class Frame:
     def drop(self, *names: str) -> Frame:
         return replace(self, df=self.df.drop(*names))
 
+    def trim(self) -> Frame:
+        """Drop the borrowed rows once nothing looks back any more."""
+        lo = F.col("_b") * self.rows
+        inside = (F.col("_i") >= lo) & (F.col("_i") < lo + self.rows)
+        return replace(self, df=self.df.filter(inside), before=0)
+
     def own(self, *select: str) -> DataFrame:
         """Rows of the blocks themselves, without the borrowed ones."""
-        df = self.df
-        if self.rows is not None:
-            lo = F.col("_b") * self.rows
-            df = df.filter((F.col("_i") >= lo) & (F.col("_i") < lo + self.rows))
+        df = self.df if self.rows is None else self.trim().df
         return df.select(*select) if select else df.drop("_i", "_b")
 
     def carry(self, totals: Mapping[str, Column], scans: Mapping[str, Scan], keep: int = 0) -> Frame:

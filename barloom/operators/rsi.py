@@ -38,13 +38,14 @@ def rsi_stage(f: Frame, columns: Sequence[str], n: int = 14) -> Frame:
     parts = [(c, k) for c in columns for k in ("up", "dn")]
     name = lambda p, c, k: f"_{p}_{k}_{c}"
 
+    f = f.carry({"_t": F.min("_i")}, {"_first": lambda _, every: F.min("_t").over(every)}, keep=n)
     f = f.add(**{f"_d_{c}": F.col(c) - F.lag(c).over(f.w) for c in columns})
     sign = {"up": 1.0, "dn": -1.0}
     f = f.add(**{name("x", c, k): F.greatest(F.col(f"_d_{c}") * sign[k], F.lit(0.0)) for c, k in parts})
     seed = f.w.rowsBetween(1 - n, 0)
     f = f.add(**{name("seed", c, k): F.sum(name("x", c, k)).over(seed) for c, k in parts})
 
-    f = f.carry({"_t": F.min("_i")}, {"_first": lambda _, every: F.min("_t").over(every)})
+    f = f.trim()
     pos, j = F.col("_i") - F.col("_first"), F.col("_i") - F.col("_b") * rows
     weighted = {}
     for c, k in parts:
