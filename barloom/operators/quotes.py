@@ -1,12 +1,299 @@
-"""Inventory-aware quote model."""
+"""Inventory-aware quote model: arrival rate, spreads, sensitivities, reservation price.
+
+Symbols as in the formulas: s sigma, g gamma (inventory risk), q inventory, m mu, k depth decay,
+a arrival rate. All but the inputs are projections, so they stay in generated code.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import rolling as R
+from barloom.functions.numeric import _c, div, finite, ln, sanitize, sqrt
+from barloom.operators.bars import last_bars
+from barloom.operators.features import f_market_impact, f_sigma, f_variance
+from barloom.operators.frames import BLOCK_ROWS, Frame
+
+ROOT2 = math.sqrt(2)
+SESSION_MINUTES = 420.0
+CLOSE_HOUR = 22
+
 
 def inventory(df: DataFrame, positions: DataFrame) -> DataFrame:
     """Position size per symbol; a symbol without a position counts as 1."""
     held = positions.select("symbol", F.col("qty").cast("int").cast("double").alias("_qty"))
     return df.join(held, "symbol", "left").withColumn("inventory", F.coalesce("_qty", F.lit(1.0))).drop("_qty")
+
+
+def gamma(
+    df: DataFrame,
+    positions: DataFrame,
+    rules: DataFrame | None = None,
+    current_variance: Column | float = 0.3,
+    fixed: float | None = None,
+) -> DataFrame:
+    """Inventory risk per symbol: |qty| / 1000 with a position, less than 0.01 without one.
+
+    Symbols whose rule is `index` use |qty| / 100. `fixed` gives every symbol one value (the live
+    form always ended at 0.002).
+    """
+    if fixed is not None:
+        return df.withColumn("gamma", F.lit(float(fixed)))
+    held = positions.select("symbol", F.abs(F.col("qty").cast("int")).cast("double").alias("_held"))
+    df = df.join(held, "symbol", "left")
+    if rules is not None:
+        df = df.join(rules.select("symbol", F.col("rule").alias("_rule")), "symbol", "left")
+    else:
+        df = df.withColumn("_rule", F.lit(None).cast("string"))
+    variance = F.lit(current_variance) if isinstance(current_variance, float) else current_variance
+    risk = (
+        F.when(F.col("_held").isNull(), 0.01 * (1 - variance))
+        .when(F.col("_rule") == "index", 0.01 * F.col("_held"))
+        .otherwise(F.col("_held") / 1000)
+    )
+    return df.withColumn("gamma", risk).drop("_held", "_rule")
+
+
+def arrival_stage(f: Frame, form: str = "batch", k0: float = 0.3) -> Frame:
+    """k and the arrival proxies from volume means over 5 and 25 bars; looks 24 rows back."""
+    f = f.add(_v5=R.mean("volume", f.w, 5), _v25=R.mean("volume", f.w, 25))
+    share = div("_v5", "_v25")
+    if form == "live":
+        # k0 enters, its arrival share comes out of the logarithm again as -k0 wherever volume is known.
+        k = F.when(share > 0, F.lit(-float(k0)))
+    else:
+        k = ln(div(F.col("_v5"), ln("_v25")))
+    f = f.add(k=k, _share=share)
+    alpha = finite(F.col("_share") / F.exp("k"))
+    return f.add(bid_alpha=alpha, ask_alpha=alpha).drop("_v5", "_v25", "_share")
+
+
+def arrival(df: DataFrame, period: float, form: str = "batch", rows: int = BLOCK_ROWS) -> DataFrame:
+    return arrival_stage(Frame.of(df, period, before=24, rows=rows), form).own()
+
+
+def quote_inputs(df: DataFrame, period: float, rows: int = BLOCK_ROWS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Bars with `inventory` and `gamma` to all inputs of the spreads: k, alphas, sigma, mu, impact.
+
+    One frame, so one shuffle; k and the alphas are cleaned, sigma and mu keep their gaps.
+    """
+    f = Frame.of(df, period, before=24, rows=rows)
+    f = f_market_impact.stage(f_sigma.stage(f))
+    f = f_variance.stage(f)
+    f = arrival_stage(f).add(_o5=R.mean("open", f.w, 5))
+    f = f.pct_change(_change=ln("_o5"))
+    f = f.add(mu=F.abs(F.col("_change") / 2 * 10000)).drop("_o5", "_change")
+    return f.put(**{c: sanitize(c) for c in ("k", "bid_alpha", "ask_alpha")}).own()
+
+
+def fill_inputs(df: DataFrame) -> DataFrame:
+    """Clean inputs of the sensitivities."""
+    return df.withColumns({c: sanitize(c) for c in ("sigma", "mu", "k", "bid_alpha", "variance")})
+
+
+def _growth(g: Column, k: Column) -> Column:
+    """(1 + g/k) ^ (1 + k/g), NULL where the base is not positive or the power overflows."""
+    base = 1 + F.try_divide(g, k)
+    return finite(F.exp((1 + F.try_divide(k, g)) * ln(base)))
+
+
+def _entry(g: Column, k: Column) -> Column:
+    """ln(1 + g/k) / g"""
+    return F.try_divide(ln(1 + F.try_divide(g, k)), g)
+
+
+def spread_sym(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Spreads without drift. scale is 100000 in the live form."""
+    s, g, q, k = (F.col(c) for c in ("sigma", "gamma", "inventory", "k"))
+    width = lambda a: sqrt(finite(F.try_divide(s * s * g, 2 * k * F.col(a)) * _growth(g, k)))
+    bid = _entry(g, k) + (2 * q + 1) / 2 * width("bid_alpha")
+    ask = _entry(g, k) - (2 * q - 1) / 2 * width("ask_alpha")
+    return df.withColumns({"bid_spread_aysm": finite(bid / scale), "ask_spread_aysm": finite(ask / scale)})
+
+
+def _drift_spreads(g: Column) -> tuple[Column, Column]:
+    s, q, k, m = (F.col(c) for c in ("sigma", "inventory", "k", "mu"))
+    width = lambda a: sqrt(finite(F.try_divide(s * s * k, 2 * k * F.col(a)) * _growth(g, k)))
+    drift = F.try_divide(m, g * s * s)
+    bid = _entry(g, k) + (-drift + (2 * q + 1) / 2) * width("bid_alpha")
+    ask = _entry(g, k) + (drift - (2 * q - 1) / 2) * width("ask_alpha")
+    return bid, ask
+
+
+def spread_drift(df: DataFrame, scale: float = 1000.0) -> DataFrame:
+    """Spreads with drift, the ones used to quote. scale is 25000 in the live form."""
+    bid, ask = _drift_spreads(F.col("gamma"))
+    return df.withColumns({"bid_spread_aysm2": finite(bid / scale), "ask_spread_aysm2": finite(ask / scale)})
+
+
+def spread_impact(df: DataFrame) -> DataFrame:
+    """Spreads with a market-impact term."""
+    s, g, q, k, i = (F.col(c) for c in ("sigma", "gamma", "inventory", "k", "market_impact"))
+    growth = finite(F.exp((1 + k * g) * ln(1 + g * k)))
+    width = lambda a: finite(F.exp(k / 4 * i)) * sqrt(finite(F.try_divide(s * 2 * g, 2 * k * F.col(a)) * growth))
+    bid = _entry(g, k) + i / 2 + (2 * q + 1) / 2 * width("bid_alpha")
+    ask = _entry(g, k) + i / 2 - (2 * q - 1) / 2 * width("ask_alpha")
+    return df.withColumns({"bid_spread_aysm3": finite(bid), "ask_spread_aysm3": finite(ask)})
+
+
+def _grid(start: float, count: int) -> Column:
+    """start, 2 start, ... count start: a fixed number of values per row."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: j * F.lit(start)))
+
+
+def _summary(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """describe() per group; each group is one parameter grid, so its size is fixed."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return df.groupBy(*by).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"),
+        F.max(value).alias("max"),
+    )
+
+
+def gamma_sweep(df: DataFrame, count: int = 1000, start: float = 0.001) -> DataFrame:
+    """Unscaled drift spreads of the last bar per symbol over a grid of gammas, summarised."""
+    last = last_bars(df, 1).drop("gamma").withColumn("gamma", _grid(start, count))
+    bid, ask = _drift_spreads(F.col("gamma"))
+    sides = F.array(
+        F.struct(F.lit("bid").alias("side"), finite(bid).alias("spread")),
+        F.struct(F.lit("ask").alias("side"), finite(ask).alias("spread")),
+    )
+    long = last.select("symbol", F.explode(sides).alias("x")).select("symbol", "x.side", "x.spread")
+    return _summary(long, "spread", "symbol", "side")
+
+
+def _terms() -> dict[str, Column]:
+    s, g, q, k, m, a = (F.col(c) for c in ("sigma", "gamma", "inventory", "k", "mu", "bid_alpha"))
+    e = _growth(g, k)
+    return {
+        "s": s, "g": g, "q": q, "k": k, "m": m, "a": a, "E": e,
+        "R": sqrt(finite(F.try_divide(e * s * s, a))),
+        "Q": 0.5 * (1 - 2 * q) + F.try_divide(m, g * s * s),
+        "L": ln(1 + F.try_divide(g, k)),
+        "B": 1 + F.try_divide(g, k),
+    }
+
+
+def d_gamma(df: DataFrame) -> DataFrame:
+    t = _terms()
+    s, g, k, m, a, E, R, Q, L, B = (t[c] for c in ("s", "g", "k", "m", "a", "E", "R", "Q", "L", "B"))
+    inner = F.try_divide(F.try_divide(k, g) + 1, k * B) - F.try_divide(k * L, g * g)
+    value = (
+        F.try_divide(s * s * E * inner * Q, 2 * ROOT2 * a * R)
+        - F.try_divide(m * R, ROOT2 * g * g * s * s)
+        - F.try_divide(L, g * g)
+        + F.try_divide(F.lit(1.0), g * k * B)
+    )
+    return df.withColumn("inventory_risk_roc", finite(value))
+
+
+def norm_series(df: DataFrame, period: float, column: str, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """A column scaled to -1..1 over its series."""
+    f = Frame.of(df, period, rows=rows).carry(
+        {"_lo": F.min(column), "_hi": F.max(column)},
+        {"_min": lambda _, every: F.min("_lo").over(every), "_max": lambda _, every: F.max("_hi").over(every)},
+    )
+    scaled = 2 * div(F.col(column) - F.col("_min"), F.col("_max") - F.col("_min")) - 1
+    return f.add(**{out: scaled}).drop("_min", "_max").own()
+
+
+def d_inventory(df: DataFrame) -> DataFrame:
+    return df.withColumn("inventory_derivative", -_terms()["R"] / ROOT2)
+
+
+def d_sigma(df: DataFrame) -> DataFrame:
+    t = _terms()
+    s, g, m, a, E, R, Q = (t[c] for c in ("s", "g", "m", "a", "E", "R", "Q"))
+    value = F.try_divide(E * Q * s, ROOT2 * a * R) - F.try_divide(ROOT2 * m * R, g * s * s * s)
+    return df.withColumn("sigma_derivative", finite(value))
+
+
+def d_k(df: DataFrame) -> DataFrame:
+    t = _terms()
+    s, g, k, a, E, R, Q, L, B = (t[c] for c in ("s", "g", "k", "a", "E", "R", "Q", "L", "B"))
+    inner = F.try_divide(-g * (1 + F.try_divide(k, g)), B * k * k) + F.try_divide(L, g)
+    value = F.try_divide(F.lit(-1.0), B * k * k) + F.try_divide(E * Q * s * s * inner, 2 * ROOT2 * a * R)
+    return df.withColumn("k_derivative", finite(value))
+
+
+def d_a(df: DataFrame) -> DataFrame:
+    t = _terms()
+    s, a, E, R, Q = (t[c] for c in ("s", "a", "E", "R", "Q"))
+    return df.withColumn("a_derivative", finite(F.try_divide(-E * Q * s * s, 2 * ROOT2 * a * a * R)))
+
+
+def integrals(df: DataFrame) -> DataFrame:
+    t = _terms()
+    s, g, q, m, a, R, L = (t[c] for c in ("s", "g", "q", "m", "a", "R", "L"))
+    body = g * (1 - 2 * q) * s * s + 4 * m * ln(s)
+    return df.withColumns(
+        {
+            "indefinite_integral": finite(F.try_divide(-R * body, 8 * ROOT2 * a * g * s)),
+            "indefinite_integral2": finite(F.try_divide(8 * s * s * L + ROOT2 * R * body, 8 * g * s)),
+        }
+    )
+
+
+def minutes_left(as_of: Column) -> Column:
+    """Whole minutes from `as_of` to the close on the same day (half a minute goes to even)."""
+    close = F.unix_micros(F.date_trunc("day", as_of)) + F.lit(CLOSE_HOUR * 3_600_000_000)
+    return F.bround((close - F.unix_micros(as_of)) / 60_000_000.0)
+
+
+def _reservation(mid: Column, q: Column, risk: Column, variance: Column, left: Column) -> Column:
+    return mid - q * risk * (variance * 1000) * (1 - left / SESSION_MINUTES) / 40
+
+
+def reservation(df: DataFrame, as_of: str, mid: str = "close") -> DataFrame:
+    """Reservation price per symbol from its last bar. mid is d_vwap in the live form."""
+    left = minutes_left(F.lit(as_of).cast("timestamp"))
+    res = _reservation(F.col(mid), F.col("inventory"), F.col("gamma"), F.col("variance"), left)
+    return last_bars(df, 1).withColumn("res", res)
+
+
+def reservation_sweep(df: DataFrame, as_of: str, mid: str = "close", count: int = 1000, start: float = 0.0001) -> DataFrame:
+    left = minutes_left(F.lit(as_of).cast("timestamp"))
+    last = last_bars(df, 1).drop("gamma").withColumn("gamma", _grid(start, count))
+    res = _reservation(F.col(mid), F.col("inventory"), F.col("gamma"), F.col("variance"), left)
+    return _summary(last.withColumn("res", res), "res", "symbol")
+
+
+UNFILLED = 100.0  # duration of an order that was never filled
+
+
+def fill_time(fills: DataFrame) -> DataFrame:
+    """Seconds from order to fill."""
+    took = (F.unix_micros("filled_ts") - F.unix_micros("placed_ts")) / 1_000_000.0
+    return fills.withColumn("duration", F.coalesce(took, F.lit(UNFILLED)))
+
+
+def decay_fit(durations: DataFrame) -> DataFrame:
+    """duration = A exp(-kappa x) per symbol, by a straight line through the logs."""
+    y = ln("duration")
+    x = F.when(y.isNotNull(), F.col("offset"))
+    fit = durations.groupBy("symbol").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("i"))
+    return fit.select("symbol", (-F.col("slope")).alias("kappa"), F.exp("i").alias("a"))
+
+
+def decay_fit_offset(durations: DataFrame, steps: int = 20) -> DataFrame:
+    """duration = A exp(-kappa x) + c: the c, of a grid below the smallest mean, with the least error.
+
+    Orders are first reduced to the mean per distance, so the grid meets a few rows per symbol.
+    """
+    points = durations.groupBy("symbol", "offset").agg(F.avg("duration").alias("d"))
+    low = points.groupBy("symbol").agg(F.min("d").alias("_low"))
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda j: F.col("_low") * j / steps))
+    cells = points.join(low, "symbol").withColumn("c", grid).withColumn("_y", ln(F.col("d") - F.col("c")))
+    x = F.when(F.col("_y").isNotNull(), F.col("offset"))
+    fits = cells.groupBy("symbol", "c").agg(
+        F.regr_slope("_y", x).alias("_slope"), F.regr_intercept("_y", x).alias("_i")
+    )
+    miss = F.col("d") - (F.exp(F.col("_i") + F.col("_slope") * F.col("offset")) + F.col("c"))
+    scored = cells.join(fits, ["symbol", "c"]).groupBy("symbol", "c", "_slope", "_i").agg(F.sum(miss * miss).alias("sse"))
+    best = Window.partitionBy("symbol").orderBy("sse", "c")
+    chosen = scored.filter("sse is not null").withColumn("_r", F.row_number().over(best)).filter("_r <= 1")
+    return chosen.select("symbol", (-F.col("_slope")).alias("kappa"), F.exp("_i").alias("a"), "c", "sse")
