@@ -110,13 +110,17 @@ class Frame:
     def drop(self, *names: str) -> Frame:
         return replace(self, df=self.df.drop(*names))
 
+    def store(self, label: str = "frame") -> Frame:
+        """Write the frame out, so that the next carry does not compute its stages twice."""
+        return replace(self, df=materialize(self.df, label))
+
     def trim(self) -> Frame:
         """Drop the borrowed rows once nothing looks back any more."""
         lo = F.col("_b") * self.rows
         inside = (F.col("_i") >= lo) & (F.col("_i") < lo + self.rows)
         return replace(self, df=self.df.filter(inside), before=0)
 
-    def own(self, *select: str) -> DataFrame:
+    def own(self, *select: str | Column) -> DataFrame:
         """Rows of the blocks themselves, without the borrowed ones."""
         df = self.df if self.rows is None else self.trim().df
         return df.select(*select) if select else df.drop("_i", "_b")

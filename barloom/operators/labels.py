@@ -16,18 +16,16 @@ def future_return(df: DataFrame, period: float, price: str = "close", rows: int
 
 
 def labels(df: DataFrame, period: float, price: str = "close", rows: int = BLOCK_ROWS) -> DataFrame:
-    """label_buy is 1 if the next bar is higher, label_sell if it is lower; the last bar has none.
+    """label_buy is 1 if the next bar is higher, label_sell if it is lower, else 0.
 
-    A next bar whose return is not a number (price 0) counts as neither.
+    Bars whose return has no sign have no label: the last one, and those that stay at price 0.
     """
-    f = future_return(df, period, price, rows).filter(F.col("_next").isNotNull()).drop("_next")
-    up = F.signum("future_return")
+    now, nxt = F.col(price), F.col("_next")
+    f = future_return(df, period, price, rows).filter(nxt.isNotNull() & ((now != 0) | (nxt != 0)))
+    up = F.when(now == 0, F.signum(nxt)).otherwise(F.signum(F.try_divide(nxt, now) - 1))
     return f.withColumns(
-        {
-            "label_buy": F.when(up > 0, 1).otherwise(0),
-            "label_sell": F.when(up < 0, 1).otherwise(0),
-        }
-    )
+        {"label_buy": F.when(up > 0, 1).otherwise(0), "label_sell": F.when(up < 0, 1).otherwise(0)}
+    ).drop("_next")
 
 
 def split_time(df: DataFrame, period: float, form: str = "batch", rows: int = BLOCK_ROWS) -> DataFrame:

@@ -78,7 +78,10 @@ def col_savgol(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFr
 
     The first and last two rows take the value of the cubic through the first and last five rows.
     """
-    f = _frame(long, period, before=4, after=4, rows=rows)
+    return _savgol_stage(_frame(long, period, before=4, after=4, rows=rows)).own()
+
+
+def _savgol_stage(f: Frame) -> Frame:
     at = lambda k, c="value": F.lead(c, k).over(f.w) if k > 0 else F.lag(c, -k).over(f.w) if k < 0 else F.col(c)
     there = lambda k: at(k, "_i").isNotNull()
     fit = lambda weights, over, start, step: sum(
@@ -91,7 +94,46 @@ def col_savgol(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFr
         .when(~there(1), fit(SAVGOL_FIRST, 70, 0, -1))
         .when(~there(2) & there(-3), fit(SAVGOL_SECOND, 35, 1, -1))
     )
-    return f.add(savgol=value).own()
+    return f.add(savgol=value)
+
+
+def expand_ratios(long: DataFrame, by: Sequence[str] = ("volume", "variance")) -> DataFrame:
+    """Each cell with its ratios to the columns kept beside it, in one pass and cleaned."""
+    variants = [F.struct(F.col("feature").alias("f"), F.col("value").alias("v"))] + [
+        F.struct(F.concat("feature", F.lit(f"_div_{c}")).alias("f"), N.div("value", f"by_{c}").alias("v")) for c in by
+    ]
+    return long.select("symbol", "bar_ts", F.explode(F.array(*variants)).alias("x")).select(
+        "symbol", "bar_ts", F.col("x.f").alias("feature"), N.sanitize(F.col("x.v")).alias("value")
+    )
+
+
+def expand_smooth(long: DataFrame, period: float, rows: int = BLOCK_ROWS, live: bool = False) -> DataFrame:
+    """Each cell with its smoothed value and its change (batch), or its 10-bar mean (live), cleaned.
+
+    All variants of a cell come from the same frame, so the long table is shuffled once.
+    """
+    if live:
+        f = _frame(long, period, before=9, rows=rows)
+        f = f.add(smooth_10=R.mean("value", f.w, 10))
+        names = ("smooth_10",)
+    else:
+        f = _savgol_stage(_frame(long, period, before=4, after=4, rows=rows))
+        f = f.add(smooth_5=R.mean("value", f.w, 5)).trim().pct_change(diff=F.col("value"))
+        names = ("savgol", "smooth_5", "diff")
+    variants = [F.struct(F.col("feature").alias("f"), F.col("value").alias("v"))] + [
+        F.struct(F.concat("feature", F.lit(f"_{n}")).alias("f"), F.col(n).alias("v")) for n in names
+    ]
+    return f.own("symbol", "bar_ts", F.explode(F.array(*variants)).alias("x")).select(
+        "symbol", "bar_ts", F.col("x.f").alias("feature"), N.sanitize(F.col("x.v")).alias("value")
+    )
+
+
+def normalise(long: DataFrame, period: float, p: float = 0.10, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Detrend, expanding z-score and winsorise over all cells, each step cleaned and written once."""
+    keep = lambda df, c: df.select(*KEYS, "bar_ts", N.sanitize(c).alias("value"))
+    flat = materialize(keep(col_detrend(long, period, rows), "detrended"), "detrended")
+    scored = materialize(keep(zscore_expanding(flat, period, rows), "zscore"), "scored")
+    return keep(winsorize_global(scored, p), "winsorized")
 
 
 def col_detrend(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:

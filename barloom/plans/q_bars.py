@@ -150,14 +150,14 @@ def bars_upsert(spark, sf_dir):
 
 @query(
     "label_align",
-    S.chain(*S.bars(HOUR), ("labels_", f"select symbol, bar_ts, lead(close) over {S.SEQ} as nx from bars"))
-    + f"select {S.keyed(*OHLCV)} from bars b where exists (select 1 from labels_ l where l.symbol = b.symbol and l.bar_ts = b.bar_ts and l.nx is not null)",
+    S.chain(*S.bars(HOUR), ("labels_", f"select symbol, bar_ts, close, lead(close) over {S.SEQ} as nx from bars"))
+    + f"select {S.keyed(*OHLCV)} from bars b where exists (select 1 from labels_ l where l.symbol = b.symbol and l.bar_ts = b.bar_ts and l.nx is not null and (l.close <> 0 or l.nx <> 0))",
 )
 def label_align(spark, sf_dir):
     from barloom.operators.labels import labels
 
     b = B.bars(fixtures.trades(spark, sf_dir), HOUR)
-    return present(B.align(b, labels(b, HOUR).filter("future_return is not null or label_buy is not null")))
+    return present(B.align(b, labels(b, HOUR)))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.bars import bars, vwap_hl
 from barloom.operators.features import f_volatility5
-from barloom.plans import q_bars, q_features, q_quotes, q_transforms  # noqa: F401
+from barloom.plans import q_bars, q_decisions, q_features, q_quotes, q_transforms  # noqa: F401
 from barloom.plans.catalog import CATALOG, FIVE_MINUTES, present
 from barloom.sources import fixtures
 
