@@ -117,8 +117,9 @@ def expand_smooth(long: DataFrame, period: float, rows: int = BLOCK_ROWS, live:
         f = f.add(smooth_10=R.mean("value", f.w, 10))
         names = ("smooth_10",)
     else:
-        f = _savgol_stage(_frame(long, period, before=4, after=4, rows=rows))
-        f = f.add(smooth_5=R.mean("value", f.w, 5)).trim().pct_change(diff=F.col("value"))
+        f = _frame(long, period, before=4, after=4, rows=rows).pct_change(keep=4, diff=F.col("value"))
+        f = _savgol_stage(f)
+        f = f.add(smooth_5=R.mean("value", f.w, 5))
         names = ("savgol", "smooth_5", "diff")
     variants = [F.struct(F.col("feature").alias("f"), F.col("value").alias("v"))] + [
         F.struct(F.concat("feature", F.lit(f"_{n}")).alias("f"), F.col(n).alias("v")) for n in names
