@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import bars as B
 from barloom.plans import sqltext as S
 from barloom.plans.catalog import DAY, FIVE_MINUTES, HOUR, present, query
-from barloom.session import new_path
+from barloom.session import materialize, new_path
 from barloom.sources import fixtures, trades as T
 
 OHLC = ("open", "high", "low", "close")
@@ -180,12 +180,12 @@ def vwap_sql(value: str) -> str:
 
 @query("vwap_hl", S.chain(*S.bars(HOUR), ("v", f"select symbol, bar_ts, {vwap_sql('(high + low) / 2')} as vwap from bars")) + f"select {S.keyed('vwap')} from v")
 def vwap_hl(spark, sf_dir):
-    return present(B.vwap_hl(B.bars(fixtures.trades(spark, sf_dir), HOUR), HOUR), "symbol", "bar_ts", "vwap")
+    return present(B.vwap_hl(materialize(B.bars(fixtures.trades(spark, sf_dir), HOUR)), HOUR), "symbol", "bar_ts", "vwap")
 
 
 @query("vwap_bar_open", S.chain(*S.bars(HOUR), ("v", f"select symbol, bar_ts, {vwap_sql('open')} as d_vwap from bars")) + f"select {S.keyed('d_vwap')} from v")
 def vwap_bar_open(spark, sf_dir):
-    return present(B.vwap_bar_open(B.bars(fixtures.trades(spark, sf_dir), HOUR), HOUR), "symbol", "bar_ts", "d_vwap")
+    return present(B.vwap_bar_open(materialize(B.bars(fixtures.trades(spark, sf_dir), HOUR)), HOUR), "symbol", "bar_ts", "d_vwap")
 
 
 @query(

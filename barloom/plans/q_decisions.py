@@ -8,7 +8,7 @@ from barloom.operators import decisions as D
 from barloom.operators import labels as L
 from barloom.plans import sqltext as S
 from barloom.plans.catalog import HOUR, present, query
-from barloom.plans.q_features import hourly
+from barloom.plans.q_features import hourly, stored
 from barloom.plans.q_quotes import POSITIONS
 from barloom.session import new_path
 from barloom.sources import fixtures
@@ -57,7 +57,7 @@ COUNTED = ("p0", f"select *, row_number() over {S.SEQ} - 1 as pos, count(*) over
              when pos <= half + (rest - ceil(rest * cast(0.35 as double))) then 'valid' else 'valid2' end as split from p2""",
 )
 def split_time(spark, sf_dir):
-    return present(L.split_time(hourly(spark, sf_dir), HOUR), "symbol", "bar_ts", "split")
+    return present(L.split_time(stored(spark, sf_dir), HOUR), "symbol", "bar_ts", "split")
 
 
 @query(
@@ -67,7 +67,7 @@ def split_time(spark, sf_dir):
              else 'test' end as split from p1""",
 )
 def split_time_live(spark, sf_dir):
-    return present(L.split_time(hourly(spark, sf_dir), HOUR, form="live"), "symbol", "bar_ts", "split")
+    return present(L.split_time(stored(spark, sf_dir), HOUR, form="live"), "symbol", "bar_ts", "split")
 
 
 @query(
@@ -85,7 +85,7 @@ def split_time_live(spark, sf_dir):
     + "select symbol, bar_ts, cast(fold as int) as fold, role from p2 where role is not null",
 )
 def split_forward_folds(spark, sf_dir):
-    return present(L.forward_folds(hourly(spark, sf_dir), HOUR, 3, 1), "symbol", "bar_ts", "fold", "role")
+    return present(L.forward_folds(stored(spark, sf_dir), HOUR, 3, 1), "symbol", "bar_ts", "fold", "role")
 
 
 PREDICTED = [

@@ -7,6 +7,7 @@ from barloom.operators import features as A
 from barloom.operators.rsi import rsi
 from barloom.plans import sqltext as S
 from barloom.plans.catalog import HOUR, present, query
+from barloom.session import materialize
 from barloom.sources import fixtures
 
 
@@ -14,6 +15,17 @@ def hourly(spark, sf_dir):
     return B.bars(fixtures.trades(spark, sf_dir), HOUR)
 
 
+def stored(spark, sf_dir):
+    """Hourly bars written once, for operators that read their input twice."""
+    return materialize(hourly(spark, sf_dir), "hourly")
+
+
+# Features with a running state or a whole-series total.
+CARRIED = {
+    "f_volatility_mom", "f_last_return", "f_last_return_roll", "f_obv", "f_obv_smoothed", "f_var_band_diff", "f_mu",
+}
+
+
 def text(*steps: tuple[str, str], out: tuple[str, ...]) -> str:
     """Hourly bars, then the steps; each step is (name, columns added to the step before)."""
     chain, prior = S.bars(HOUR), "bars"
@@ -29,7 +41,7 @@ def feature(name: str, out: tuple[str, ...], *steps: tuple[str, str]):
 
     @query(name, text(*steps, out=out))
     def _run(spark, sf_dir):
-        b = hourly(spark, sf_dir)
+        b = stored(spark, sf_dir) if name in CARRIED else hourly(spark, sf_dir)
         done = run(b, HOUR) if hasattr(run, "stage") else run(b)
         return present(done, "symbol", "bar_ts", *out)
 
@@ -218,8 +230,8 @@ RSI_VWAP = (
 def f_rsi(spark, sf_dir):
     from barloom.functions.numeric import sanitize
 
-    b = B.vwap_bar_open(hourly(spark, sf_dir), HOUR, name="D_vwap")
-    b = b.withColumn("D_vwap", sanitize("D_vwap"))
+    b = B.vwap_bar_open(stored(spark, sf_dir), HOUR, name="D_vwap")
+    b = materialize(b.withColumn("D_vwap", sanitize("D_vwap")), "vwap")
     columns = ["open", "close", "volume", "D_vwap"]
     return present(rsi(b, HOUR, columns, n=5), "symbol", "bar_ts", *[f"rsi_{c}" for c in columns])
 
@@ -229,4 +241,4 @@ RSI14 = ("open", "high", "low", "close", "volume")
 
 @query("f_rsi_14", rsi_sql(14, RSI14, "bars"))
 def f_rsi_14(spark, sf_dir):
-    return present(rsi(hourly(spark, sf_dir), HOUR, RSI14, n=14), "symbol", "bar_ts", *[f"rsi_{c}" for c in RSI14])
+    return present(rsi(stored(spark, sf_dir), HOUR, RSI14, n=14), "symbol", "bar_ts", *[f"rsi_{c}" for c in RSI14])

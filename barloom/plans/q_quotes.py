@@ -11,7 +11,7 @@ from barloom.operators import scenarios as C
 from barloom.operators.features import f_variance
 from barloom.plans import sqltext as S
 from barloom.plans.catalog import DAY, HOUR, present, query
-from barloom.plans.q_features import EVENT_POSITIONS, SIGMA, VARIANCE, hourly
+from barloom.plans.q_features import EVENT_POSITIONS, SIGMA, VARIANCE, hourly, stored
 from barloom.session import materialize
 from barloom.sources import fixtures
 from barloom.sources.book import flatten_book
@@ -502,7 +502,7 @@ RATE = "0.05375 / ((60.0 / 3600) * 420 * 252)"
     + f"select symbol, bar_ts, {S.cols('s0', 'drift', 'vol')}, {S.rounded(RATE, 'rate')}, {S.rounded(f'exp(-({RATE}))', 'discount')} from s4 where r = 1",
 )
 def scen_params(spark, sf_dir):
-    return present(C.params(hourly(spark, sf_dir), HOUR))
+    return present(C.params(stored(spark, sf_dir), HOUR))
 
 
 @query(
@@ -519,12 +519,12 @@ def scen_params(spark, sf_dir):
     + f"select symbol, {S.cols('mean', 'std', 'p05', 'p50', 'p95')} from r",
 )
 def scen_terminal_stats(spark, sf_dir):
-    return present(C.terminal_stats(C.params(hourly(spark, sf_dir), HOUR)))
+    return present(C.terminal_stats(C.params(stored(spark, sf_dir), HOUR)))
 
 
 @query("scen_terminal_mc")
 def scen_terminal_mc(spark, sf_dir):
-    return present(C.terminal_mc(C.params(hourly(spark, sf_dir), HOUR)))
+    return present(C.terminal_mc(C.params(stored(spark, sf_dir), HOUR)))
 
 
 @query(
@@ -533,4 +533,4 @@ def scen_terminal_mc(spark, sf_dir):
     + f'select symbol, {S.rounded("avg(miss * miss)", "mse")}, count(miss) as bars from r group by 1',
 )
 def scen_error(spark, sf_dir):
-    return present(C.error(hourly(spark, sf_dir), HOUR))
+    return present(C.error(stored(spark, sf_dir), HOUR))
