@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
@@ -16,6 +16,7 @@ from barloom.functions import numeric as N
 from barloom.operators.features import zscore_series
 from barloom.operators.frames import BLOCK_ROWS, Frame
 from barloom.operators.orderstats import order_statistics, quantile_ranks
+from barloom.session import materialize
 
 KEYS = ("symbol", "feature")
 
@@ -176,39 +177,55 @@ def col_extrapolate(long: DataFrame, n: int = 10, ahead: int = 0) -> DataFrame:
 
 
 def zscore_expanding(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Relative change of the log value's z-score against everything seen so far."""
+    """Relative change of the log value's z-score against everything seen so far.
+
+    One pass over the block summaries serves both the moments and the last known score, because the
+    score of a block's last value follows from the moments up to that block.
+    """
     f = _frame(long, period, rows=rows).add(_x=N.ln("value"))
     x = F.col("_x")
-    f = f.carry_with({"_n": F.count(x), "_m": F.avg(x), "_v": F.var_pop(x)}, lambda part: _earlier_moments(part, f))
+    totals = {
+        "_n": F.count(x), "_m": F.avg(x), "_v": F.var_pop(x), "_end": F.max_by(x, F.when(x.isNotNull(), F.col("_i"))),
+    }
+    f = f.carry_with(totals, lambda part: _earlier_moments(part, f))
     f = f.add(_n1=F.count(x).over(f.cum), _m1=F.avg(x).over(f.cum), _v1=F.var_pop(x).over(f.cum))
     zero = F.lit(0.0)
-    n0, m0, s0 = (F.coalesce(F.col(c), zero) for c in ("_n0", "_m0", "_s0"))
-    n1, m1, v1 = (F.coalesce(F.col(c), zero) for c in ("_n1", "_m1", "_v1"))
+    n0, m0, s0, n1, m1, v1 = (F.coalesce(F.col(c), zero) for c in ("_n0", "_m0", "_s0", "_n1", "_m1", "_v1"))
     n = n0 + n1
     squares = s0 + n1 * v1 + F.coalesce(F.try_divide(n0 * n1, n), zero) * (m1 - m0) * (m1 - m0)
-    sd = F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1)))
-    z = N.div(x - F.try_divide(n0 * m0 + n1 * m1, n), sd)
-    f = f.add(_z=z).drop("_n0", "_m0", "_s0", "_n1", "_m1", "_v1", "_x")
-    return f.pct_change(zscore=F.col("_z")).drop("_z").own()
+    f = f.add(_z=_score(x, n, F.try_divide(n0 * m0 + n1 * m1, n), squares))
+    f = f.add(_p=F.coalesce(F.last("_z", ignorenulls=True).over(f.cum), "_z0"))
+    f = f.add(zscore=N.div("_p", F.coalesce(F.lag("_p").over(f.w), "_z0")) - 1)
+    return f.drop("_n0", "_m0", "_s0", "_z0", "_n1", "_m1", "_v1", "_x", "_z", "_p").own()
+
+
+def _score(x: Column, n: Column, mean: Column, squares: Column) -> Column:
+    return N.div(x - mean, F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))))
 
 
 def _earlier_moments(part: DataFrame, f: Frame) -> DataFrame:
-    """Count, mean and squared deviations of all earlier blocks together."""
-    earlier = Window.partitionBy(*f.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    over = lambda c: F.sum(c).over(earlier)
-    n, m = F.col("_n"), F.col("_m")
+    """Count, mean and squared deviations of all earlier blocks together, and the last score there."""
+    by_block = Window.partitionBy(*f.keys).orderBy("_b")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_block.rowsBetween(Window.unboundedPreceding, 0)
+    whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Deviations are taken from the first block's mean, which keeps the sums of squares small.
-    base = F.first("_m", ignorenulls=True).over(
-        Window.partitionBy(*f.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = part.select("*", F.first("_m", ignorenulls=True).over(whole).alias("_base"))
+    n, d = F.col("_n"), F.col("_m") - F.col("_base")
+
+    def moments(w: WindowSpec) -> tuple[Column, Column, Column]:
+        over = lambda c: F.sum(c).over(w)
+        count, first = over(n).cast("double"), over(n * d)
+        shift = F.try_divide(first, count)
+        squares = F.greatest(over(n * (F.col("_v") + d * d)) - first * shift, F.lit(0.0))
+        return count, F.col("_base") + shift, squares
+
+    n0, m0, s0 = moments(earlier)
+    part = part.select(
+        "*", n0.alias("_n0"), m0.alias("_m0"), s0.alias("_s0"), _score(F.col("_end"), *moments(so_far)).alias("_z")
     )
-    part = part.select("*", base.alias("_base"))
-    d = m - F.col("_base")
-    n0, s1 = over(n), over(n * d)
-    s2 = over(n * (F.col("_v") + d * d))
-    shift = F.try_divide(s1, n0)
     return part.select(
-        *f.keys, "_b", n0.cast("double").alias("_n0"), (F.col("_base") + shift).alias("_m0"),
-        F.greatest(s2 - s1 * shift, F.lit(0.0)).alias("_s0"),
+        *f.keys, "_b", "_n0", "_m0", "_s0", F.last("_z", ignorenulls=True).over(earlier).alias("_z0")
     )
 
 
