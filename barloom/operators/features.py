@@ -36,8 +36,10 @@ def windowed(before: int) -> Callable:
     return wrap
 
 
-def _sd(f: Frame, x: Column, n: int) -> Column:
-    return R.std(x, f.w, n) * math.sqrt(n)
+def _scaled(f: Frame, out: str, x: str, n: int) -> Frame:
+    """Rolling deviation times the root of the window."""
+    f = f.roll(_sd=R.std(x, n))
+    return f.add(**{out: F.col("_sd") * math.sqrt(n)}).drop("_sd")
 
 
 def f_range_spread(df: DataFrame) -> DataFrame:
@@ -56,24 +58,24 @@ def f_volume_plus1(df: DataFrame) -> DataFrame:
 @windowed(4)
 def f_volatility5(f: Frame, price: str = "close") -> Frame:
     """price: close for the batch form, open for the live one."""
-    return f.add(Volatility=_sd(f, ln(price), 5))
+    return _scaled(f.logs(price), "Volatility", f"_ln_{price}", 5).drop(f"_ln_{price}")
 
 
 @windowed(8)
 def f_vol_of_vol5(f: Frame, price: str = "close") -> Frame:
-    f = f_volatility5.stage(f, price)
-    return f.add(Volatility2=_sd(f, ln("Volatility"), 5))
+    f = f_volatility5.stage(f, price).logs("Volatility")
+    return _scaled(f, "Volatility2", "_ln_Volatility", 5).drop("_ln_Volatility")
 
 
 @windowed(24)
 def f_volatility25(f: Frame) -> Frame:
-    return f.add(Volatility3=_sd(f, ln("open"), 25))
+    return _scaled(f.logs("open"), "Volatility3", "_ln_open", 25).drop("_ln_open")
 
 
 @windowed(48)
 def f_vol_of_vol25(f: Frame) -> Frame:
-    f = f_volatility25.stage(f)
-    return f.add(Volatility4=_sd(f, ln("Volatility3"), 25))
+    f = f_volatility25.stage(f).logs("Volatility3")
+    return _scaled(f, "Volatility4", "_ln_Volatility3", 25).drop("_ln_Volatility3")
 
 
 @windowed(24)
@@ -84,7 +86,7 @@ def f_volatility_mom(f: Frame) -> Frame:
 
 @windowed(4)
 def f_volatility_ratio(f: Frame) -> Frame:
-    f = f_volatility5.stage(f).add(_v5=R.mean("volume", f.w, 5))
+    f = f_volatility5.stage(f).roll(_v5=R.mean("volume", 5))
     return f.add(
         Volatility_ratio=div("Volatility", "_v5"), Volatility_ratio_reversed=div("_v5", "Volatility")
     ).drop("_v5")
@@ -116,33 +118,37 @@ def f_last_return_roll(f: Frame, twice: bool = True) -> Frame:
 
 def roll_last_return(f: Frame) -> Frame:
     x = "last_return"
-    return f.add(
-        last_return_5mu=R.mean(x, f.w, 5),
-        last_return_5_sum=R.total(x, f.w, 5),
-        last_return_10mu=R.mean(x, f.w, 10),
-        last_return_10_sum=R.total(x, f.w, 10),
+    return f.roll(
+        last_return_5mu=R.mean(x, 5),
+        last_return_5_sum=R.total(x, 5),
+        last_return_10mu=R.mean(x, 10),
+        last_return_10_sum=R.total(x, 10),
     )
 
 
 @windowed(14)
 def f_std_normalized(f: Frame, price: str = "open", n: int = 15) -> Frame:
-    x = ln(price)
-    return f.add(std_normalized=div(R.std_pop(x, f.w, n), R.mean(x, f.w, n)))
+    x = f"_ln_{price}"
+    f = f.logs(price).roll(_dev=R.std_pop(x, n), _mean=R.mean(x, n))
+    return f.add(std_normalized=div("_dev", "_mean")).drop("_dev", "_mean", x)
 
 
 @windowed(14)
 def f_ma_ratio(f: Frame, price: str = "open", n: int = 15) -> Frame:
-    x = ln(price)
-    return f.add(ma_ratio=div(x - R.mean(x, f.w, n), x))
+    x = f"_ln_{price}"
+    f = f.logs(price).roll(_mean=R.mean(x, n))
+    return f.add(ma_ratio=div(F.col(x) - F.col("_mean"), x)).drop("_mean", x)
 
 
 @windowed(14)
 def f_values_deviation(f: Frame, n: int = 15) -> Frame:
-    p, v = ln("open"), ln("volume")
-    return f.add(
-        price_deviation=div(p - R.mean(p, f.w, n), R.std_pop(p, f.w, n)),
-        volume_deviation=div(v - R.mean(v, f.w, n), R.std_pop(v, f.w, n)),
+    p, v = "_ln_open", "_ln_volume"
+    f = f.logs("open", "volume").roll(
+        _mp=R.mean(p, n), _dp=R.std_pop(p, n), _mv=R.mean(v, n), _dv=R.std_pop(v, n)
     )
+    return f.add(
+        price_deviation=div(F.col(p) - F.col("_mp"), "_dp"), volume_deviation=div(F.col(v) - F.col("_mv"), "_dv")
+    ).drop("_mp", "_dp", "_mv", "_dv", p, v)
 
 
 def signed_volume(f: Frame, x: Column) -> Column:
@@ -193,7 +199,7 @@ def f_obv(f: Frame, price: str = "close") -> Frame:
 
 @windowed(10)
 def f_obv_smoothed(f: Frame) -> Frame:
-    f = f.add(_o10=R.mean("open", f.w, 10), _v10=R.mean("volume", f.w, 10))
+    f = f.roll(_o10=R.mean("open", 10), _v10=R.mean("volume", 10))
     f = f.add(_ov=div("_o10", "_v10"))
     return f.running_sum(OBV2=signed_volume(f, F.col("_o10")), OBV3=signed_volume(f, F.col("_ov"))).drop(
         "_o10", "_v10", "_ov"
@@ -202,50 +208,54 @@ def f_obv_smoothed(f: Frame) -> Frame:
 
 @windowed(4)
 def f_log_spread(f: Frame) -> Frame:
-    o, lo, hi = (R.mean(ln(c), f.w, 5) for c in ("open", "low", "high"))
-    return f.add(spread=F.abs(o - (lo + hi) / 2))
+    f = f.logs("open", "low", "high")
+    f = f.roll(_mo=R.mean("_ln_open", 5), _ml=R.mean("_ln_low", 5), _mh=R.mean("_ln_high", 5))
+    return f.add(spread=F.abs(F.col("_mo") - (F.col("_ml") + F.col("_mh")) / 2)).drop(
+        "_mo", "_ml", "_mh", "_ln_open", "_ln_low", "_ln_high"
+    )
 
 
 @windowed(8)
 def f_variance(f: Frame) -> Frame:
-    f = f.add(_sd5=_sd(f, ln("open"), 5))
-    return f.add(variance=R.mean("_sd5", f.w, 5)).drop("_sd5")
+    f = _scaled(f.logs("open"), "_sd5", "_ln_open", 5)
+    return f.roll(variance=R.mean("_sd5", 5)).drop("_sd5", "_ln_open")
 
 
 @windowed(8)
 def f_var_bands(f: Frame) -> Frame:
     f = f_variance.stage(f) if "variance" not in f.df.columns else f
-    f = f.add(_o5=R.mean(ln("open"), f.w, 5))
+    f = f.logs("open").roll(_o5=R.mean("_ln_open", 5))
     return f.add(
         open_plus_var=F.col("_o5") + F.col("variance"), open_minus_var=F.col("_o5") - F.col("variance")
-    ).drop("_o5")
+    ).drop("_o5", "_ln_open")
 
 
 @windowed(9)
 def f_var_band_diff(f: Frame) -> Frame:
-    f = f_var_bands.stage(f)
-    f = f.add(_o5=R.mean(ln("open"), f.w, 5), _band=F.lag("open_minus_var").over(f.w))
+    f = f_var_bands.stage(f).logs("open").roll(_o5=R.mean("_ln_open", 5))
+    f = f.add(_band=F.lag("open_minus_var").over(f.w))
     f = f.pct_change(_change=F.col("_o5"))
     f = f.running_sum(open_var_diff=F.col("_change") - F.col("_band"))
-    return f.drop("_o5", "_band", "_change", "variance", "open_plus_var", "open_minus_var")
+    return f.drop("_o5", "_band", "_change", "_ln_open", "variance", "open_plus_var", "open_minus_var")
 
 
 @windowed(4)
 def f_mu(f: Frame) -> Frame:
-    f = f.add(_o5=R.mean("open", f.w, 5))
+    f = f.roll(_o5=R.mean("open", 5))
     f = f.pct_change(_change=ln("_o5"))
     return f.add(mu=F.abs(F.col("_change") / 2 * 10000)).drop("_o5", "_change")
 
 
 @windowed(18)
 def f_sigma(f: Frame) -> Frame:
-    f = f.add(_sd15=_sd(f, ln("open"), 15))
-    return f.add(sigma=R.mean("_sd15", f.w, 5) * 100).drop("_sd15")
+    f = _scaled(f.logs("open"), "_sd15", "_ln_open", 15).roll(_m=R.mean("_sd15", 5))
+    return f.add(sigma=F.col("_m") * 100).drop("_sd15", "_m", "_ln_open")
 
 
 @windowed(18)
 def f_market_impact(f: Frame, volume_offset: float = 0.0) -> Frame:
     """Needs `inventory`. volume_offset is 1 in the live form."""
     f = f_sigma.stage(f) if "sigma" not in f.df.columns else f
-    v5 = R.mean(F.col("volume") + volume_offset, f.w, 5)
-    return f.add(market_impact=F.col("sigma") * sqrt(div(F.col("inventory"), v5)))
+    f = f.roll(_v5=R.mean("volume", 5))
+    impact = F.col("sigma") * sqrt(div(F.col("inventory"), F.col("_v5") + volume_offset))
+    return f.add(market_impact=impact).drop("_v5")

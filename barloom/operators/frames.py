@@ -23,10 +23,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import div
+from barloom.functions.numeric import div, ln
+from barloom.functions.rolling import Rolling, lag_name
 from barloom.session import materialize
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048  # with its halo still below the 4096 rows a window keeps in plain memory
 
 Scan = Callable[[WindowSpec, WindowSpec], Column]
 
@@ -107,6 +108,20 @@ class Frame:
         """Like add, but replaces columns of the same name."""
         return replace(self, df=self.df.withColumns(columns))
 
+    def logs(self, *columns: str) -> Frame:
+        """Adds _ln_<column>, unless it is there."""
+        return self.add(**{f"_ln_{c}": ln(c) for c in columns if f"_ln_{c}" not in self.df.columns})
+
+    def roll(self, **stats: Rolling) -> Frame:
+        """Rolling statistics of columns that exist already; one set of lags per column."""
+        longest: dict[str, int] = {}
+        for s in stats.values():
+            longest[s.x] = max(longest.get(s.x, 0), s.n)
+        lags = {lag_name(x, k): F.lag(x, k).over(self.w) for x, n in longest.items() for k in range(1, n)}
+        centers = {s.center: s.center_value() for s in stats.values() if s.kind.startswith("std")}
+        f = self.add(**lags).add(**centers) if centers else self.add(**lags)
+        return f.add(**{name: s.value() for name, s in stats.items()}).drop(*lags, *centers)
+
     def drop(self, *names: str) -> Frame:
         return replace(self, df=self.df.drop(*names))
 

@@ -59,7 +59,7 @@ def gamma(
 
 def arrival_stage(f: Frame, form: str = "batch", k0: float = 0.3) -> Frame:
     """k and the arrival proxies from volume means over 5 and 25 bars; looks 24 rows back."""
-    f = f.add(_v5=R.mean("volume", f.w, 5), _v25=R.mean("volume", f.w, 25))
+    f = f.roll(_v5=R.mean("volume", 5), _v25=R.mean("volume", 25))
     share = div("_v5", "_v25")
     if form == "live":
         # k0 enters, its arrival share comes out of the logarithm again as -k0 wherever volume is known.
@@ -83,7 +83,7 @@ def quote_inputs(df: DataFrame, period: float, rows: int = BLOCK_ROWS, extra: tu
     f = Frame.of(df, period, before=24, rows=rows)
     f = f_market_impact.stage(f_sigma.stage(f))
     f = f_variance.stage(f)
-    f = arrival_stage(f).add(_o5=R.mean("open", f.w, 5))
+    f = arrival_stage(f).roll(_o5=R.mean("open", 5))
     f = f.pct_change(_change=ln("_o5"))
     f = f.add(mu=F.abs(F.col("_change") / 2 * 10000)).drop("_o5", "_change")
     return f.put(**{c: sanitize(c) for c in ("k", "bid_alpha", "ask_alpha")}).own()

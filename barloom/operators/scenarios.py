@@ -27,7 +27,7 @@ def drift_and_vol(df: DataFrame, period: float, rows: int = BLOCK_ROWS, after: i
     f = Frame.of(df, period, before=8 + 9, after=after, rows=rows)
     f = f_variance.stage(f).put(variance=sanitize("variance"))
     f = f.pct_change(9, _return=F.col("close"))
-    return f.add(drift=R.mean("_return", f.w, 10), vol=R.mean("variance", f.w, 10)).drop("_return")
+    return f.roll(drift=R.mean("_return", 10), vol=R.mean("variance", 10)).drop("_return")
 
 
 def params(df: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -57,21 +57,30 @@ def _uniform(*parts: Column) -> Column:
 
 
 def draws(p: DataFrame, count: int = 10_000, seed: int = 42) -> DataFrame:
-    """`count` next prices per symbol."""
-    cell = p.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(count))))
-    u = lambda k: _uniform(F.col("symbol"), F.col("draw"), F.lit(seed), F.lit(k))
-    normal = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * math.pi * u(2))
+    """`count` next prices per symbol, sorted, as one array: its length is the parameter, not the data."""
+    u = lambda i, k: _uniform(F.col("symbol"), i, F.lit(seed), F.lit(k))
     s0, mu, v = F.col("s0"), F.col("drift"), F.col("vol")
-    return cell.select("symbol", "draw", finite(s0 * F.exp(mu - v * v / 2 + v * normal)).alias("price"))
+
+    def price(i: Column) -> Column:
+        normal = F.sqrt(-2 * F.ln(u(i, 1))) * F.cos(2 * math.pi * u(i, 2))
+        return s0 * F.exp(mu - v * v / 2 + v * normal)
+
+    return p.select("symbol", F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(count)), price)).alias("prices"))
 
 
 def terminal_mc(p: DataFrame, count: int = 10_000, seed: int = 42) -> DataFrame:
-    """Summary of the draws; `prediction` is the middle of their range."""
-    x = F.col("price")
-    # A group is one symbol's draws: `count` rows, whatever the input size.
-    return draws(p, count, seed).groupBy("symbol").agg(
-        F.count(x).alias("draws"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), ((F.max(x) + F.min(x)) / 2).alias("prediction"),
+    """Summary of the draws; `prediction` is the middle of their range. No shuffle: a row is a symbol."""
+    known = p.filter("s0 is not null and drift is not null and vol is not null")
+    x, n = F.col("prices"), float(count)
+    total = lambda e: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + e(y))
+    low, high = F.element_at(x, 1), F.element_at(x, -1)
+    middle = (F.element_at(x, (count + 1) // 2) + F.element_at(x, count // 2 + 1)) / 2
+    with_mean = draws(known, count, seed).withColumn("mean", total(lambda y: y) / n)
+    spread = total(lambda y: (y - F.col("mean")) * (y - F.col("mean")))
+    return with_mean.select(
+        "symbol", F.lit(count).alias("draws"), finite("mean").alias("mean"), finite(middle).alias("median"),
+        finite(F.sqrt(spread / (n - 1))).alias("std"), low.alias("min"), finite(high).alias("max"),
+        finite((low + high) / 2).alias("prediction"),
     )
 
 

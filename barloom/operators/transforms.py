@@ -63,7 +63,7 @@ def col_div(long: DataFrame, by: str) -> DataFrame:
 def col_div_rolling(df: DataFrame, period: float, columns: Sequence[str], by: str = "Volatility", rows: int = BLOCK_ROWS) -> DataFrame:
     """Each column divided by the 5-bar mean of `by`; takes wide bars, so the mean is made once."""
     f = Frame.of(df, period, before=4, rows=rows)
-    f = f.add(_by5=R.mean(by, f.w, 5))
+    f = f.roll(_by5=R.mean(by, 5))
     long = to_long(f.own(), columns, keep=("_by5",))
     return long.select("symbol", "bar_ts", "feature", "value", N.div("value", "by__by5").alias("ratio"))
 
@@ -71,7 +71,7 @@ def col_div_rolling(df: DataFrame, period: float, columns: Sequence[str], by: st
 def col_smooth(long: DataFrame, period: float, n: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
     """Rolling mean; 5 in the batch form, 10 in the live one."""
     f = _frame(long, period, before=n - 1, rows=rows)
-    return f.add(smooth=R.mean("value", f.w, n)).own()
+    return f.roll(smooth=R.mean("value", n)).own()
 
 
 def col_savgol(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -115,12 +115,12 @@ def expand_smooth(long: DataFrame, period: float, rows: int = BLOCK_ROWS, live:
     """
     if live:
         f = _frame(long, period, before=9, rows=rows)
-        f = f.add(smooth_10=R.mean("value", f.w, 10))
+        f = f.roll(smooth_10=R.mean("value", 10))
         names = ("smooth_10",)
     else:
         f = _frame(long, period, before=4, after=4, rows=rows).pct_change(keep=4, diff=F.col("value"))
         f = _savgol_stage(f)
-        f = f.add(smooth_5=R.mean("value", f.w, 5))
+        f = f.roll(smooth_5=R.mean("value", 5))
         names = ("savgol", "smooth_5", "diff")
     variants = [F.struct(F.col("feature").alias("f"), F.col("value").alias("v"))] + [
         F.struct(F.concat("feature", F.lit(f"_{n}")).alias("f"), F.col(n).alias("v")) for n in names

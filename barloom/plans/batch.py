@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
-from barloom.functions.numeric import div, ln, sanitize
+from barloom.functions.numeric import div, finite, ln, sanitize, sqrt
 from barloom.operators import features as A
 from barloom.operators import quotes as Q
 from barloom.operators import transforms as T
@@ -39,22 +41,37 @@ def base_features(bars: DataFrame, period: float, rows: int = ROWS) -> DataFrame
     needs that state, and the RSI. Each stage is one shuffle by (symbol, block).
     """
     f = Frame.of(A.f_volume_plus1(A.f_range_spread(bars)), period, before=BEFORE, rows=rows)
-    for stage in (
-        A.f_vol_of_vol5, A.f_vol_of_vol25, A.f_std_normalized, A.f_ma_ratio, A.f_log_spread, A.f_variance,
-        A.f_var_bands, A.f_market_impact,
-    ):
-        f = stage.stage(f)
-    f = Q.arrival_stage(f)
-    f = f.put(**{c: sanitize(c) for c in ("k", "bid_alpha", "ask_alpha")})
+    lo, r5, r15, r25 = "_ln_open", math.sqrt(5), math.sqrt(15), math.sqrt(25)
+    f = f.logs("open", "close", "low", "high").roll(
+        _c5=R.std("_ln_close", 5), _o5sd=R.std(lo, 5), _o15sd=R.std(lo, 15), _o25sd=R.std(lo, 25),
+        _lo5=R.mean(lo, 5), _lo15=R.mean(lo, 15), _dev15=R.std_pop(lo, 15),
+        _ll5=R.mean("_ln_low", 5), _lh5=R.mean("_ln_high", 5), _o5=R.mean("open", 5),
+        _v5=R.mean("volume", 5), _v25=R.mean("volume", 25),
+    )
     f = f.add(
-        _v5=R.mean("volume", f.w, 5), _lo5=R.mean(ln("open"), f.w, 5), _o5=R.mean("open", f.w, 5),
-        _band=F.lag("open_minus_var").over(f.w),
-        _step_open=A.signed_volume(f, F.col("open")), _step_close=A.signed_volume(f, F.col("close")),
+        Volatility=F.col("_c5") * r5, Volatility3=F.col("_o25sd") * r25,
+        _sd5=F.col("_o5sd") * r5, _sd15=F.col("_o15sd") * r15,
+        std_normalized=div("_dev15", "_lo15"), ma_ratio=div(F.col(lo) - F.col("_lo15"), lo),
+        spread=F.abs(F.col("_lo5") - (F.col("_ll5") + F.col("_lh5")) / 2),
+    ).drop("_c5", "_o5sd", "_o15sd", "_o25sd", "_dev15", "_lo15", "_ll5", "_lh5", "_ln_close", "_ln_low", "_ln_high")
+    f = f.logs("Volatility", "Volatility3").roll(
+        _vv5=R.std("_ln_Volatility", 5), _vv25=R.std("_ln_Volatility3", 25),
+        variance=R.mean("_sd5", 5), _s5=R.mean("_sd15", 5),
     )
+    k = ln(div(F.col("_v5"), ln("_v25")))
     f = f.add(
+        Volatility2=F.col("_vv5") * r5, Volatility4=F.col("_vv25") * r25, sigma=F.col("_s5") * 100,
+        k=sanitize(k), _alpha=finite(div("_v5", "_v25") / F.exp(k)),
+        open_plus_var=F.col("_lo5") + F.col("variance"), open_minus_var=F.col("_lo5") - F.col("variance"),
         Volatility_ratio=div("Volatility", "_v5"), Volatility_ratio_reversed=div("_v5", "Volatility"),
         trade_able_spread=F.col("spread3") - F.sqrt(A.TRADE_COST * F.col("Volatility")),
     )
+    f = f.add(
+        market_impact=F.col("sigma") * sqrt(div(F.col("inventory"), "_v5")),
+        bid_alpha=sanitize("_alpha"), ask_alpha=sanitize("_alpha"),
+        _band=F.lag("open_minus_var").over(f.w),
+        _step_open=A.signed_volume(f, F.col("open")), _step_close=A.signed_volume(f, F.col("close")),
+    ).drop("_vv5", "_vv25", "_s5", "_sd5", "_sd15", "_v5", "_v25", "_alpha", "_ln_Volatility", "_ln_Volatility3")
     v = F.col("volume")
     f = f.store("base-1").running(
         keep=KEEP,
@@ -64,13 +81,13 @@ def base_features(bars: DataFrame, period: float, rows: int = ROWS) -> DataFrame
         },
         changes={
             "Volatility_mom": F.col("Volatility"), "Volatility3_mom": F.col("Volatility3"),
-            "_r1": ln("open"), "_do5": F.col("_lo5"), "_dmu": ln("_o5"),
+            "_r1": F.col("_ln_open"), "_do5": F.col("_lo5"), "_dmu": ln("_o5"),
         },
     )
     f = f.add(
         vwap=div("_hl", "_vol"), D_vwap=sanitize(div("_op", "_vol")), mu=F.abs(F.col("_dmu") / 2 * 10000),
         _var_step=F.col("_do5") - F.col("_band"),
-    ).drop("_v5", "_lo5", "_o5", "_band", "_step_open", "_step_close", "_vol", "_hl", "_op", "_do5", "_dmu")
+    ).drop("_ln_open", "_lo5", "_o5", "_band", "_step_open", "_step_close", "_vol", "_hl", "_op", "_do5", "_dmu")
 
     f = f.store("base-2").running(
         keep=KEEP, sums={"open_var_diff": F.col("_var_step")}, changes={"last_return": ln("_r1")}

@@ -52,5 +52,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     branch still reads only its own columns, and a lost executor costs no recomputation.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    plain = {"parquet.enable.dictionary": "false"}  # numbers hardly repeat; names do
+    plain |= {f"parquet.enable.dictionary#{c}": "true" for c, t in df.dtypes if t == "string"}
+    df.write.options(**plain).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
