@@ -1,11 +1,12 @@
 """Relative strength index with Wilder smoothing, as a scan over blocks.
 
 The smoothed gain obeys avg = (avg * (n - 1) + gain) / n, so with d = (n - 1) / n it is a weighted
-sum of all past gains with weights d^age / n, the first n of them entering as one plain mean. Inside
-a block that sum is a window sum of gain * d^-j times d^j. Across blocks only the ratio of gain to
-loss matters, and both decay alike: the state handed on is the weighted sum over the last few
-blocks that moved at all. One block of decay is already a factor d^rows; blocks so far back that
-their weight is below e^-40 cannot change a double and are left out.
+sum of all past gains, gain / n times d^age; the first n gains enter together as one mean, which is
+the same as giving all of them the age of the n-th. Inside a block the sum is a running sum of
+gain * d^-j times d^j, with j the place in the block. Across blocks only the ratio of gain to loss
+matters, and both decay alike: the state handed on is the weighted sum over the last few blocks
+that moved at all. One block of decay is already a factor d^rows; blocks so far back that their
+weight is below e^-40 cannot change a double and are left out.
 """
 
 from __future__ import annotations
@@ -26,54 +27,54 @@ def rsi(
     if n < 2:
         raise ValueError("n must be at least 2")
     rows = rows or min(BLOCK_ROWS, int(600 / -math.log((n - 1) / n)))
-    f = Frame.of(df, period, before=n, rows=rows)
-    return rsi_stage(f, columns, n).own()
+    return rsi_stage(Frame.of(df, period, before=1, rows=rows), columns, n).own()
 
 
 def rsi_stage(f: Frame, columns: Sequence[str], n: int = 14) -> Frame:
-    """Frame form. The frame must borrow n rows, and d^-rows must stay a finite double."""
+    """Frame form. The frame must borrow a row, and d^-rows must stay a finite double."""
     rows, decay = f.rows, (n - 1) / n
-    if rows * -math.log(decay) > 650:
+    if (rows + n) * -math.log(decay) > 650:
         raise ValueError("blocks are too long for this n")
     parts = [(c, k) for c in columns for k in ("up", "dn")]
     name = lambda p, c, k: f"_{p}_{k}_{c}"
-
-    f = f.carry({"_t": F.min("_i")}, {"_first": lambda _, every: F.min("_t").over(every)}, keep=n)
-    f = f.add(**{f"_d_{c}": F.col(c) - F.lag(c).over(f.w) for c in columns})
     sign = {"up": 1.0, "dn": -1.0}
-    f = f.add(**{name("x", c, k): F.greatest(F.col(f"_d_{c}") * sign[k], F.lit(0.0)) for c, k in parts})
-    seed = f.w.rowsBetween(1 - n, 0)
-    f = f.add(**{name("seed", c, k): F.sum(name("x", c, k)).over(seed) for c, k in parts})
-
-    f = f.trim()
-    pos, j = F.col("_i") - F.col("_first"), F.col("_i") - F.col("_b") * rows
-    weighted = {}
-    for c, k in parts:
-        share = F.when(pos == n, F.col(name("seed", c, k))).when(pos > n, F.col(name("x", c, k))).otherwise(0.0) / n
-        weighted[name("y", c, k)] = share * F.pow(F.lit(1 / decay), j)
-    f = f.add(**weighted)
-    f = f.add(**{name("s", c, k): F.sum(name("y", c, k)).over(f.cum) for c, k in parts})
 
+    f = f.carry({"_t": F.min("_i")}, {"_first": lambda _, every: F.min("_t").over(every)}, keep=1)
+    f = f.add(**{f"_d_{c}": F.col(c) - F.lag(c).over(f.w) for c in columns}).trim()
+    pos, j = F.col("_i") - F.col("_first"), (F.col("_i") - F.col("_b") * rows).cast("double")
+    f = f.add(
+        _pos=pos,
+        _grow=F.pow(F.lit(1 / decay), j + F.greatest(n - pos, F.lit(0))) / n,
+        _fade=F.pow(F.lit(decay), j),
+    )
+    f = f.add(
+        **{
+            name("y", c, k): F.greatest(F.coalesce(F.col(f"_d_{c}") * sign[k], F.lit(0.0)), F.lit(0.0)) * F.col("_grow")
+            for c, k in parts
+        }
+    )
     ends = {name("e", c, k): F.sum(name("y", c, k)) * F.lit(decay ** (rows - 1)) for c, k in parts}
     f = f.carry_with(ends, lambda part: _states(part, f, columns, decay))
+    f = f.add(**{name("s", c, k): F.sum(name("y", c, k)).over(f.cum) * F.col("_fade") for c, k in parts})
     out = {}
     for c in columns:
-        state = F.col(f"_state_{c}")
-        age = j + (F.col("_b") - state["b"] - 1) * rows + 1
-        fade = F.pow(F.lit(decay), age.cast("double"))
-        local = {k: F.col(name("s", c, k)) * F.pow(F.lit(decay), j.cast("double")) for k in ("up", "dn")}
+        state, local = F.col(f"_state_{c}"), {k: F.col(name("s", c, k)) for k in ("up", "dn")}
         still = (local["up"] + local["dn"]) == 0
         both = {
-            k: F.when(state.isNull(), local[k]).when(still, state[k]).otherwise(local[k] + state[k] * fade)
+            k: F.when(state.isNull(), local[k])
+            .when(still, state[k])
+            .otherwise(local[k] + state[k] * state["fade"] * F.col("_fade"))
             for k in ("up", "dn")
         }
         value = F.when(both["dn"] == 0, F.lit(100.0)).otherwise(
             100 - 100 / (1 + F.try_divide(both["up"], both["dn"]))
         )
-        out[f"rsi_{c}"] = F.when(pos > n, value)
+        out[f"rsi_{c}"] = F.when(F.col("_pos") > n, value)
     f = f.add(**out)
-    used = [name(p, c, k) for p in ("x", "seed", "y", "s") for c, k in parts]
-    return f.drop("_first", *used, *[f"_d_{c}" for c in columns], *[f"_state_{c}" for c in columns])
+    used = [name(p, c, k) for p in ("y", "s") for c, k in parts]
+    return f.drop(
+        "_first", "_pos", "_grow", "_fade", *used, *[f"_d_{c}" for c in columns], *[f"_state_{c}" for c in columns]
+    )
 
 
 def _states(part: DataFrame, f: Frame, columns: Sequence[str], decay: float) -> DataFrame:
@@ -105,8 +106,9 @@ def _states(part: DataFrame, f: Frame, columns: Sequence[str], decay: float) ->
             F.struct(newest.alias("b"), total("up").alias("up"), total("dn").alias("dn")),
         )
         out = out.withColumn(f"_now_{c}", state)
-    return out.select(
-        *f.keys,
-        "_b",
-        *[F.last(f"_now_{c}", ignorenulls=True).over(earlier).alias(f"_state_{c}") for c in columns],
-    )
+    last = {c: F.last(f"_now_{c}", ignorenulls=True).over(earlier) for c in columns}
+    out = out.select(*f.keys, "_b", *[last[c].alias(f"_last_{c}") for c in columns])
+    # How much the state has faded at the first row of the block.
+    age = lambda c: ((F.col("_b") - F.col(f"_last_{c}.b") - 1) * f.rows + 1).cast("double")
+    state = lambda c: F.col(f"_last_{c}").withField("fade", F.pow(F.lit(decay), age(c)))
+    return out.select(*f.keys, "_b", *[state(c).alias(f"_state_{c}") for c in columns])
