@@ -65,11 +65,13 @@ def draws(p: DataFrame, count: int = 10_000, seed: int = 42) -> DataFrame:
         normal = F.sqrt(-2 * F.ln(u(i, 1))) * F.cos(2 * math.pi * u(i, 2))
         return s0 * F.exp(mu - v * v / 2 + v * normal)
 
+    # A parameter row is tiny and its draws are not, so the rows are spread whatever their size.
+    p = p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
     return p.select("symbol", F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(count)), price)).alias("prices"))
 
 
 def terminal_mc(p: DataFrame, count: int = 10_000, seed: int = 42) -> DataFrame:
-    """Summary of the draws; `prediction` is the middle of their range. No shuffle: a row is a symbol."""
+    """Summary of the draws; `prediction` is the middle of their range. A row is a symbol, so nothing is grouped."""
     known = p.filter("s0 is not null and drift is not null and vol is not null")
     x, n = F.col("prices"), float(count)
     total = lambda e: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + e(y))
