@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, license_scan, line_dedup, mixing, quality, token_counts, url_filter
+from barloom.llm import decontaminate, license_scan, line_dedup, mixing, quality, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op6_source_mix", f"select * replace (round(rate, 6) as rate) from ({mixing.sql()})")
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(mixing.mix(table(spark, sf_dir, "documents")), rate=6)
