@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import text as T
+from barloom.session import materialize
 
 BITS = 18  # 2^18 weights: a bounded model, shipped with the tasks
 
@@ -63,25 +64,19 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def telling(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, min_rows: int, least: float) -> np.ndarray:
-    """Mask of pairs whose bucket goes with the grade: chi-square of presence against grade of `least` or more."""
-    used, col, per = np.unique(bucket, return_inverse=True, return_counts=True)
-    share = np.bincount(grade, minlength=grades) / len(grade)
-    seen = np.bincount(col * grades + grade[row], minlength=len(used) * grades).reshape(-1, grades)
-    expect = per[:, None] * share
-    chi = ((seen - expect) ** 2 / np.maximum(expect, 1e-9)).sum(1) / np.maximum(1 - per / len(grade), 1e-3)
-    return ((chi >= least) & (per >= min_rows))[col]
+def telling(seen: np.ndarray, per_grade: np.ndarray, min_rows: int = 3, least: float = 20.0) -> np.ndarray:
+    """Buckets that go with the grade: chi-square of presence (bucket, grade counts) against grade of `least` or more."""
+    per, n = seen.sum(1), max(per_grade.sum(), 1)
+    expect = per[:, None] * per_grade / n
+    chi = ((seen - expect) ** 2 / np.maximum(expect, 1e-9)).sum(1) / np.maximum(1 - per / n, 1e-3)
+    return np.flatnonzero((chi >= least) & (per >= min_rows))
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, bits: int, min_rows: int = 3,
-        least: float = 20.0, l2: float = 0.005, steps: int = 400) -> Ordinal:
-    """Maximum likelihood with a ridge, by adaptive full-batch steps, on buckets that go with the grade.
+def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, bits: int, l2: float = 0.005, steps: int = 400) -> Ordinal:
+    """Maximum likelihood with a ridge, by adaptive full-batch steps.
 
     Thresholds are a first one plus positive gaps (exponentials), so they stay ordered.
     """
-    if len(grade):
-        ok = telling(row, bucket, grade, grades, min_rows, least)
-        row, bucket = row[ok], bucket[ok]
     used, col = np.unique(bucket, return_inverse=True)
     n, v = len(grade), np.zeros(len(used))
     order = np.arange(grades)
@@ -113,31 +108,59 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades: int, bit
 def train(docs: DataFrame, rated: DataFrame, grades: int, max_labelled: int = 12000, bits: int = BITS) -> Ordinal:
     """Fit on at most `max_labelled` rated documents (id, grade), the first by a hash of their id.
 
-    That bound is the only sample: it limits what the driver holds to the hashed features of so many
-    texts. Rows with a null or unknown grade are left out; a repeated id counts by its lowest grade.
+    That bound is the only sample. Rows with a null or unknown grade are left out; a repeated id
+    counts by its lowest grade, and repeated rows of it each. Counts of bucket and grade are
+    aggregated first, so that the driver gets no more than the buckets that go with the grade.
     """
     ok = rated.where(F.col("_grade").between(0, grades - 1) & F.col("_id").isNotNull())
     picked = ok.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     # At most max_labelled rows of two numbers, so the broadcast is bounded by a parameter.
-    have = docs.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text")
+    have = materialize(docs.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text"), "rated")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << bits) * grades, np.int64)
+        for b in batches:
+            grade = b.column(1).to_numpy(zero_copy_only=False)
+            for s in T.slices(b.column(2)):
+                row, bucket = features(s, bits)
+                total += np.bincount(bucket.astype(np.int64) * grades + grade[row + s.first], minlength=len(total))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+
+    got = have.mapInArrow(tally, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.bincount(got["k"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64), (1 << bits) * grades)
+    per_grade = have.groupBy("_grade").count().toPandas()
+    chosen = telling(seen.reshape(-1, grades), np.bincount(per_grade["_grade"].to_numpy(dtype=np.int64), per_grade["count"].to_numpy(dtype=np.int64), grades))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(1 << bits, bool)
+        use[chosen] = True
         for b in batches:
             for s in T.slices(b.column(2)):
                 row, bucket = features(s, bits)
+                row, bucket = row[use[bucket]], bucket[use[bucket]]
                 cut = np.searchsorted(row, np.arange(len(s.offsets)))
                 part = b.slice(s.first, s.last - s.first)
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["_id", "_grade", "_f"])
 
-    got = have.mapInArrow(tokens, "_id long, _grade int, _f array<int>")
-    # Repeated documents of an id count once; sorting makes the fit independent of task order.
-    found = got.groupBy("_id").agg(F.first("_grade").alias("_grade"), F.min("_f").alias("_f")).orderBy("_id").toPandas()
+    # Sorted, so that the fit does not depend on the order of tasks.
+    found = have.mapInArrow(tokens, "_id long, _grade int, _f array<int>").orderBy("_id", F.size("_f")).toPandas()
     sizes = found["_f"].map(len).to_numpy(dtype=np.int64) if len(found) else np.empty(0, np.int64)
     bucket = np.concatenate(found["_f"].to_list()).astype(np.int64) if len(found) else np.empty(0, np.int64)
     return fit(np.repeat(np.arange(len(found)), sizes), bucket, found["_grade"].to_numpy(dtype=np.int64), grades, bits)
 
 
+def inputs(docs: DataFrame, rated: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return d, rated.select(F.col(id_col).cast("long").alias("_id"), F.col("grade").cast("int").alias("_grade"))
+
+
+def tails_of(model: Ordinal, s: T.Slice) -> np.ndarray:
+    row, bucket = features(s)
+    return model.tails(np.bincount(row, model.weights[bucket], len(s.offsets) - 1))
+
+
 def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, keep_from: int = 2, keep_tail: float = 0.5,
              id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 12000) -> DataFrame:
     """(id, expected_grade, tail_prob, grade, kept) per input row.
@@ -148,29 +171,40 @@ def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, keep_from: int
     table gives an empty result. Without any usable rating every grade is about as likely as another.
     Other columns of the input are not read.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    r = rated.select(F.col(id_col).cast("long").alias("_id"), F.col("grade").cast("int").alias("_grade"))
+    d, r = inputs(docs, rated, id_col, text_col)
     model = train(d, r, grades, max_labelled)
-    w, th = model.weights.astype(np.float32), model.thresholds
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Ordinal(w, th)
         for b in batches:
             for s in T.slices(b.column(1)):
-                row, bucket = features(s)
-                tails = m.tails(np.bincount(row, m.weights[bucket], len(s.offsets) - 1))
+                tails = tails_of(model, s)
                 each = -np.diff(np.concatenate([np.ones((len(tails), 1)), tails, np.zeros((len(tails), 1))], 1), axis=1)
                 tail = tails[:, keep_from - 1]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(s.first, s.last - s.first), pa.array(tails.sum(1)), pa.array(tail),
                      pa.array(each.argmax(1).astype(np.int32)), pa.array(tail >= keep_tail)],
                     ["_id", "expected_grade", "tail_prob", "grade", "kept"],
-                )
+                )
 
     out = d.mapInArrow(score, "_id long, expected_grade double, tail_prob double, grade int, kept boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
+def select_good(docs: DataFrame, rated: DataFrame, grades: int = 3, keep_from: int = 2, keep_tail: float = 0.5,
+                id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 12000) -> DataFrame:
+    """The rows of `docs`, all columns, that `classify` keeps; decided where a row is read, without a join."""
+    model = train(*inputs(docs, rated, id_col, text_col), grades, max_labelled)
+    at = docs.columns.index(text_col)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [tails_of(model, s)[:, keep_from - 1] >= keep_tail for s in T.slices(b.column(at))]
+            if kept:
+                yield b.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def grade_of(quality: Column, toxic: Column) -> Column:
     """0: poor, 1: well written but toxic, 2: well written and clean. Null where a part is unknown."""
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
