@@ -37,21 +37,28 @@ def boilerplate(lines: DataFrame, min_sites: int, log_k: int = 10) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", log_k: int = 10
+    docs: DataFrame,
+    min_sites: int = 8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
+    log_k: int = 10,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, text without boilerplate lines, n_lines, n_removed) per input row.
+    """(id, text without boilerplate lines, n_lines, n_removed, carried columns) per input row.
 
     A line is the text between newlines; it is compared without the blanks around it, and removed
     wherever it stands if it occurs on `min_sites` (two or more) distinct sites. Blank lines stay.
     Rows with a null site keep their lines out of the count but are cleaned, and so are rows with a
     null id. A null text gives null and no lines; an empty one has one (blank) line. Repeated rows
-    are cleaned each and count once per site. Other columns of the input are not read.
+    are cleaned each and count once per site. Of other columns only those in `carry` are read.
 
     Lines seen on one site only are left out first, by the least and greatest site hash of a 64-bit
     line hash; that aggregates in every task before the shuffle. What is left is a small part of all
     lines, is written once, and feeds sketches, exact counts and the list of lines to cut per document.
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(site_col).alias("_site"))
+    extra = [F.col(c).alias(f"_x{k}") for k, c in enumerate(carry)]
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(site_col).alias("_site"), *extra)
     own = F.array_distinct(F.transform(F.split("_text", "\n"), trimmed))  # a document's own repeats count once
     line = d.select("_id", "_site", F.explode(own).alias("line")).where("line <> ''")
     k = line_key(F.col("line"))
@@ -65,11 +72,13 @@ def dedup_lines(
     joined = d.join(hits, d["_id"].eqNullSafe(hits["_doc"]), "left")
     parts = F.split("_text", "\n")
     stay = F.filter(parts, lambda x: ~F.array_contains(F.col("_gone"), line_key(x)) | (trimmed(x) == ""))
-    out = joined.select("_id", "_text", "_gone", parts.alias("_all"), F.when(F.col("_gone").isNotNull(), stay).alias("_kept"))
+    held = [f"_x{k}" for k in range(len(carry))]
+    out = joined.select(*held, "_id", "_text", "_gone", parts.alias("_all"), F.when(F.col("_gone").isNotNull(), stay).alias("_kept"))
     n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_all")).cast("long")
     left = F.coalesce(F.when(F.col("_kept").isNotNull(), F.size("_kept")).cast("long"), n)
     text = F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    return out.select(F.col("_id").alias(id_col), text.alias(text_col), n.alias("n_lines"), (n - left).alias("n_removed"))
+    back = [F.col(x).alias(c) for x, c in zip(held, carry, strict=True)]
+    return out.select(F.col("_id").alias(id_col), text.alias(text_col), n.alias("n_lines"), (n - left).alias("n_removed"), *back)
 
 
 def sql(min_sites: int = 8) -> str:
