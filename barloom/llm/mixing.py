@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ TOPICS = (
 OTHER = "prose"
 DIMS = ("source", "lang", "topic")
 UNKNOWN = "(null)"
+DRIVER_CELLS = 100_000  # a cell is three short strings and two numbers
 
 
 def topic(text: Column) -> Column:
@@ -49,9 +51,32 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
     """Iterative proportional fitting: (dims, n, w) with w starting at n and scaled to each marginal in turn.
 
-    Each step aggregates weights by one dimension and joins the factors back, so cells stay a
-    distributed table whatever their number. A value without a target keeps its weight's share.
+    A value without a target keeps its weight. Up to DRIVER_CELLS cells, whose number is checked,
+    the sweeps run as array sums on the driver; beyond it they are joins, with the same results.
     """
+    count = cells.limit(DRIVER_CELLS + 1).count()
+    if 0 < count <= DRIVER_CELLS:
+        return rake_arrays(cells, targets, sweeps)
+    return rake_joined(cells, targets, sweeps)
+
+
+def rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
+    c = cells.orderBy(*DIMS).toPandas()
+    w, steps = c["n"].to_numpy(dtype=np.float64), []
+    for dim, target in targets.items():
+        values, code = np.unique(c[dim].to_numpy(dtype=object), return_inverse=True)
+        share = target.toPandas().groupby(dim)["share"].sum().reindex(values).to_numpy(dtype=np.float64)
+        steps.append((code, share))
+    for _ in range(sweeps):
+        for code, share in steps:
+            factor = share / np.bincount(code, w, len(share))
+            w = w * np.where(np.isnan(factor), 1.0, factor)[code]
+    c["w"] = w
+    return cells.sparkSession.createDataFrame(c[[*DIMS, "n", "w"]], "source string, lang string, topic string, n long, w double")
+
+
+def rake_joined(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
+    """Each step aggregates weights by one dimension and joins the factors back; a sweep is a table of its own."""
     w = cells.withColumn("w", F.col("n").cast("double"))
     for _ in range(sweeps):
         for dim, target in targets.items():
