@@ -37,11 +37,11 @@ def sqrt(x: Column | str) -> Column:
 
 
 def signif(x: Column | str) -> Column:
-    """Seven significant digits, and 0 below 1e-9: comparable across engines.
+    """Seven significant digits, for comparison with engines whose sums differ in the last bits.
 
-    Prices have few decimals, so exact ties do occur and engines break them differently. The factor
-    moves them off the tie by far more than rounding noise and far less than the digits kept.
+    Prices have few decimals, so exact ties occur; rounding to twelve digits first takes the noise
+    off them, and then all of them round away from zero.
     """
     x = _c(x)
-    shown = F.when(F.abs(x) < 1e-9, F.lit(0.0)).otherwise(x * 1.0000000003)
-    return F.when(x.isNotNull(), F.format_string("%.6e", shown).cast("double"))
+    clean = F.format_string("%.11e", x).cast("double")
+    return F.when(x.isNotNull(), F.format_string("%.6e", clean).cast("double"))

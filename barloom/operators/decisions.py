@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.frames import Frame
+
 OPEN_STATUS = ("O", "P")
-CANCEL_LIMIT = 500  # orders one cancel request returns
+CANCEL_REQUEST = 500  # orders one cancel request takes
 LADDER = 10
 
 
@@ -16,7 +18,7 @@ def _cents(x: Column) -> Column:
 
 def order_qty(risk: Column, base: float = 100.0) -> Column:
     """Order size, falling with inventory risk. base is 101 on the sell side."""
-    return F.round(base * F.exp(-5 * (risk - 0.019) / (1 - 0.019))).cast("long")
+    return F.bround(base * F.exp(-5 * (risk - 0.019) / (1 - 0.019))).cast("long")  # half to even
 
 
 def entries(desk: DataFrame) -> DataFrame:
@@ -58,20 +60,18 @@ def bracket(orders: DataFrame) -> DataFrame:
     )
 
 
-def cancels(
-    orders: DataFrame, symbols: DataFrame, side: str | None = None, limit: int | None = CANCEL_LIMIT
-) -> DataFrame:
-    """Open orders of the symbols to cancel, of one side or both: the newest `limit` per symbol.
+def cancels(orders: DataFrame, symbols: DataFrame, side: str | None = None, per_request: int = CANCEL_REQUEST) -> DataFrame:
+    """Open orders of the symbols to cancel, of one side or both, newest first in numbered requests.
 
-    The limit is the feature of one cancel request; None takes all. Tasks rank before the shuffle.
+    All of them are cancelled: `request` is 1 for a symbol's newest `per_request` orders, 2 for the
+    next ones, and so on. Positions are counted over ranges of the sorted orders, not per symbol.
     """
     live = orders.filter(F.col("status").isin(*OPEN_STATUS))
     live = live.filter(F.col("side") == side) if side else live
-    live = live.join(symbols.select("symbol"), "symbol", "left_semi")
-    if limit is None:
-        return live
-    newest = Window.partitionBy("symbol").orderBy(F.col("order_id").desc())
-    return live.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= limit).drop("_r")
+    live = live.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    f = Frame.ranged(live.withColumn("_newest", -F.col("order_id")), ("symbol",), ("_newest",)).positions()
+    request = F.floor(F.col("pos") / per_request).cast("long") + 1
+    return f.add(request=request).own().drop("_newest", "pos", "n")
 
 
 def remaining(orders: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -113,19 +113,22 @@ def match_ladder(positions: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def match_single(positions: DataFrame, quotes: DataFrame) -> DataFrame:
-    """One exit order per position: stop at 100 spreads, target at 3, prices taken absolute."""
+    """One exit order per position: stop at 100 spreads, target at 3. Rounded prices are taken absolute.
+
+    Only the limit starts from the absolute reservation price; stop and target keep its sign.
+    """
     short = F.col("side") == "SHORT"
     way = F.when(short, 1.0).otherwise(-1.0)
     joined = (
         positions.select("symbol", "side", F.abs("qty_available").alias("qty"))
-        .join(quotes.select("symbol", F.abs("res").alias("_res"), "best_bid", "best_ask"), "symbol")
+        .join(quotes.select("symbol", "res", "best_bid", "best_ask"), "symbol")
         .withColumn("_s", _exit_spread())
     )
-    res, s = F.col("_res"), F.col("_s")
+    res, s = F.col("res"), F.col("_s")
     return joined.select(
         "symbol",
         F.when(short, "BUY").otherwise("SELL").alias("order_side"),
-        F.abs(_cents(_cents(res) + _cents(s))).alias("limit_price"),
+        F.abs(_cents(_cents(F.abs(res)) + _cents(s))).alias("limit_price"),
         F.abs(_cents(res - way * s * 3)).alias("take_profit"),
         F.abs(_cents(res + way * s * 100)).alias("stop_loss"),
         "qty",

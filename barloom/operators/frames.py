@@ -27,6 +27,7 @@ from barloom.functions.numeric import div, ln
 from barloom.functions.rolling import Rolling, lag_name
 from barloom.session import materialize
 
+RANGE_ROWS = 1_000_000  # rows of a range of ticks at most, about
 BLOCK_ROWS = 2048  # with its halo still below the 4096 rows a window keeps in plain memory
 
 Scan = Callable[[WindowSpec, WindowSpec], Column]
@@ -88,7 +89,8 @@ class Frame:
         same plan could draw others, and the summaries have to fit the rows.
         """
         spark = df.sparkSession
-        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if parts is None:
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
         ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_b", F.spark_partition_id().cast("long"))
         return cls(materialize(ranged, "ranges"), tuple(keys), tuple(order))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import div
@@ -10,9 +10,21 @@ from barloom.operators.frames import BLOCK_ROWS, Frame
 
 
 def future_return(df: DataFrame, period: float, price: str = "close", rows: int = BLOCK_ROWS) -> DataFrame:
-    """Return from this bar to the next. The next block lends one row, so only lead() is needed."""
-    f = Frame.of(df, period, after=1, rows=rows)
-    return f.add(future_return=div(F.lead(price).over(f.w), price) - 1, _next=F.lead(price).over(f.w)).own()
+    """Return from this bar to the symbol's next one, which may be any number of bins away.
+
+    The next bar of the last one in a block is the first of the next filled block, taken from the
+    block summaries, so bars with gaps need no neighbouring rows.
+    """
+    f = Frame.of(df, period, rows=rows)
+    f = f.add(_inside=F.lead(F.lit(True)).over(f.w), _lead=F.lead(price).over(f.w))
+    later = Window.partitionBy("symbol").orderBy("_b")
+    f = f.carry_with(
+        {"_first": F.min_by(price, "_i")},
+        lambda part: part.select("symbol", "_b", F.lead("_first").over(later).alias("_after")),
+    )
+    nxt = F.when(F.col("_inside"), F.col("_lead")).otherwise(F.col("_after"))
+    out = f.add(_next=nxt).add(future_return=div("_next", price) - 1)
+    return out.own().drop("_inside", "_lead", "_after")
 
 
 def labels(df: DataFrame, period: float, price: str = "close", rows: int = BLOCK_ROWS) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import last_bars
@@ -57,9 +57,9 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def predict_last(model: PipelineModel, df: DataFrame, n: int = 2) -> DataFrame:
     """Predictions for the last n bars per symbol; `newest` marks the one that decides."""
-    newest = df.groupBy("symbol").agg(F.max("bar_ts").alias("_last"))
-    scored = predict(model, last_bars(df, n)).join(newest, "symbol")
-    return scored.withColumn("newest", F.col("bar_ts") == F.col("_last")).drop("_last")
+    scored = predict(model, last_bars(df, n))  # n rows per symbol, so the window below is small
+    latest = Window.partitionBy("symbol").orderBy(F.col("bar_ts").desc())
+    return scored.withColumn("newest", F.row_number().over(latest) == 1)
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:

@@ -271,29 +271,45 @@ def fill_time(fills: DataFrame) -> DataFrame:
     return fills.withColumn("duration", F.coalesce(took, F.lit(UNFILLED)))
 
 
-def decay_fit(durations: DataFrame) -> DataFrame:
-    """duration = A exp(-kappa x) per symbol, by a straight line through the logs."""
-    y = ln("duration")
-    x = F.when(y.isNotNull(), F.col("offset"))
-    fit = durations.groupBy("symbol").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("i"))
-    return fit.select("symbol", (-F.col("slope")).alias("kappa"), F.exp("i").alias("a"))
+COARSE = tuple(s * 10 ** (-1 + j / 10) for s in (-1, 1) for j in range(41))  # rates from 0.1 to 1,000 of either sign
+FINER = tuple(tuple(10 ** (j * step) for j in range(-10, 11)) for step in (0.01, 0.001))
 
 
-def decay_fit_offset(durations: DataFrame, steps: int = 20) -> DataFrame:
-    """duration = A exp(-kappa x) + c: the c, of a grid below the smallest mean, with the least error.
+def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
+    """duration = A exp(-kappa x), or with `offset` A exp(-kappa x) + c: least squares over all orders of a symbol.
 
-    Orders are first reduced to the mean per distance, so the grid meets a few rows per symbol.
+    For a given rate the rest is linear, so each rate of a grid has its A, c and error from sums
+    over the orders; the best rate is then refined twice. Orders enter as count, sum and sum of
+    squares per distance, so every order weighs the same, durations of 0 too. Symbols for which no
+    rate determines A (and c) have no row.
     """
-    points = durations.groupBy("symbol", "offset").agg(F.avg("duration").alias("d"))
-    low = points.groupBy("symbol").agg(F.min("d").alias("_low"))
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda j: F.col("_low") * j / steps))
-    cells = points.join(low, "symbol").withColumn("c", grid).withColumn("_y", ln(F.col("d") - F.col("c")))
-    x = F.when(F.col("_y").isNotNull(), F.col("offset"))
-    fits = cells.groupBy("symbol", "c").agg(
-        F.regr_slope("_y", x).alias("_slope"), F.regr_intercept("_y", x).alias("_i")
+    d = F.col("duration")
+    points = durations.groupBy("symbol", F.col("offset").alias("x")).agg(
+        F.count(d).cast("double").alias("n"), F.sum(d).alias("d"), F.sum(d * d).alias("dd")
     )
-    miss = F.col("d") - (F.exp(F.col("_i") + F.col("_slope") * F.col("offset")) + F.col("c"))
-    scored = cells.join(fits, ["symbol", "c"]).groupBy("symbol", "c", "_slope", "_i").agg(F.sum(miss * miss).alias("sse"))
-    best = Window.partitionBy("symbol").orderBy("sse", "c")
-    chosen = scored.filter("sse is not null").withColumn("_r", F.row_number().over(best)).filter("_r <= 1")
-    return chosen.select("symbol", (-F.col("_slope")).alias("kappa"), F.exp("_i").alias("a"), "c", "sse")
+    points = points.filter("n > 0 and x is not null")
+    best = points.select("symbol").distinct().withColumn("kappa", F.explode(F.array(*[F.lit(k) for k in COARSE])))
+    best = _least(points, best, offset)
+    for factors in FINER:
+        near = F.array(*[F.col("kappa") * k for k in factors])
+        best = _least(points, best.select("symbol", F.explode(near).alias("kappa")), offset)
+    return best
+
+
+def _least(points: DataFrame, rates: DataFrame, offset: bool) -> DataFrame:
+    """Of each symbol's rates the one with the least squared error (the least rate of equals), with A and c."""
+    e = F.exp(-F.col("kappa") * F.col("x"))
+    s = points.join(rates, "symbol").groupBy("symbol", "kappa").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * e).alias("e"), F.sum(F.col("n") * e * e).alias("ee"),
+        F.sum("d").alias("d"), F.sum(F.col("d") * e).alias("ed"), F.sum("dd").alias("dd"), F.count("x").alias("k"),
+    )
+    if offset:
+        slope = F.try_divide(F.expr("n * ed - e * d"), F.expr("n * ee - e * e"))
+        s = s.filter("k > 1").withColumn("a", slope).withColumn("c", F.expr("(d - a * e) / n"))
+    else:
+        s = s.withColumn("a", F.try_divide("ed", "ee")).withColumn("c", F.lit(0.0))
+    s = s.withColumn("sse", F.expr("dd - a * ed - c * d")).filter("sse is not null")
+    # Errors equal to ten digits count as equal, so that rounding noise does not choose the rate.
+    order = F.struct(F.format_string("%.9e", "sse").cast("double"), F.col("kappa"))
+    pick = s.groupBy("symbol").agg(F.min_by(F.struct("kappa", "a", "c", "sse"), order).alias("b"))
+    return pick.select("symbol", "b.*") if offset else pick.select("symbol", "b.kappa", "b.a", "b.sse")

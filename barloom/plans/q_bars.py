@@ -132,7 +132,7 @@ UPSERT_SPLIT = "2024-01-15 12:20:00"
     S.chain(
         S.TRADES,
         ("trades_old", f"select * from trades where ts < timestamp '{UPSERT_SPLIT}'"),
-        ("trades_new", f"select * from trades where ts >= timestamp '{UPSERT_SPLIT}' - interval '1 day' and size > 10"),
+        ("trades_new", f"select * from trades where ts >= timestamp '{UPSERT_SPLIT}' - interval '1 day'"),
         ("old_bars", S.sparse(HOUR, "trades_old")[1]),
         ("new_bars", S.sparse(HOUR, "trades_new")[1]),
     )
@@ -144,7 +144,7 @@ def bars_upsert(spark, sf_dir):
     t = fixtures.trades(spark, sf_dir)
     split = F.lit(UPSERT_SPLIT).cast("timestamp")
     old = t.filter(F.col("ts") < split)
-    new = t.filter((F.col("ts") >= split - F.expr("interval 1 day")) & (F.col("size") > 10))
+    new = t.filter(F.col("ts") >= split - F.expr("interval 1 day"))
     return present(B.bars_upsert(B.trade_bars(new, HOUR), B.trade_bars(old, HOUR)))
 
 

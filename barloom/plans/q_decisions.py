@@ -138,7 +138,7 @@ DESK = [
                   case when current_price > prior_price then 0 else 1 end as pred_sell from positions""",
     ),
 ]
-SIZE = lambda base: f"cast(round({base} * exp(-5 * (risk - 0.019) / (1 - 0.019))) as bigint)"
+SIZE = lambda base: f"cast(round_even({base} * exp(-5 * (risk - 0.019) / (1 - 0.019)), 0) as bigint)"
 ENTRIES = [
     *DESK,
     (
@@ -192,13 +192,15 @@ def cancels_sql(side: str | None) -> tuple[str, str]:
     only = f"and side = '{side}'" if side else ""
     return (
         "cancels",
-        f"""select * from (select *, row_number() over (partition by symbol order by order_id desc) as r from open_orders
-            where status in ('O', 'P') {only} and symbol in (select symbol from cancelling)) where r <= 500""",
+        f"""select *, (row_number() over (partition by symbol order by order_id desc) - 1) // 500 + 1 as request from open_orders
+            where status in ('O', 'P') {only} and symbol in (select symbol from cancelling)""",
     )
 
 
-CANCEL_OUT = f"select order_id, symbol, side, status, {S.cols('limit_price')} from "
-CANCEL_COLS = ("order_id", "symbol", "side", "status", "limit_price")
+OPEN_OUT = f"select order_id, symbol, side, status, {S.cols('limit_price')} from "
+OPEN_COLS = ("order_id", "symbol", "side", "status", "limit_price")
+CANCEL_OUT = f"select order_id, symbol, side, status, request, {S.cols('limit_price')} from "
+CANCEL_COLS = (*OPEN_COLS, "request")
 
 
 @query("ord_cancel_symbol", S.chain(ORDERS, CANCELLING, cancels_sql(None)) + CANCEL_OUT + "cancels")
@@ -216,13 +218,13 @@ def ord_cancel_side(spark, sf_dir):
 @query(
     "ord_remaining",
     S.chain(ORDERS, CANCELLING, cancels_sql("sell"))
-    + CANCEL_OUT
+    + OPEN_OUT
     + "open_orders o where status in ('O', 'P') and not exists (select 1 from cancels c where c.order_id = o.order_id)",
 )
 def ord_remaining(spark, sf_dir):
     orders = fixtures.open_orders(spark, sf_dir)
     c = D.cancels(orders, fixtures.cancel_symbols(spark, sf_dir), side="sell")
-    return present(D.remaining(orders, c), *CANCEL_COLS)
+    return present(D.remaining(orders, c), *OPEN_COLS)
 
 
 # ---- exits -------------------------------------------------------------------------------
@@ -256,8 +258,8 @@ def pos_match_ladder(spark, sf_dir):
     S.chain(*EXIT)
     + f"""select symbol, case when side = 'SHORT' then 'BUY' else 'SELL' end as order_side,
           {S.rounded('abs(round(round(abs(res), 2) + round(spr, 2), 2))', 'limit_price')},
-          {S.rounded('abs(round(abs(res) + way * spr * 3, 2))', 'take_profit')},
-          {S.rounded('abs(round(abs(res) - way * spr * 100, 2))', 'stop_loss')}, {S.rounded('q', 'qty')} from lim""",
+          {S.rounded('abs(round(res + way * spr * 3, 2))', 'take_profit')},
+          {S.rounded('abs(round(res - way * spr * 100, 2))', 'stop_loss')}, {S.rounded('q', 'qty')} from lim""",
 )
 def pos_match_single(spark, sf_dir):
     return present(D.match_single(fixtures.positions(spark, sf_dir), fixtures.desk(spark, sf_dir)))

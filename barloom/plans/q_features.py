@@ -167,7 +167,7 @@ feature("f_volume_plus1", ("volume_p1",), ("s1", "volume + 1 as volume_p1"))
 EVENT_POSITIONS = (
     "event_positions",
     """select event_type as symbol, round(sum(case when user_id % 2 = 0 then value else -value end) / 100) as qty
-       from events where event_type <> 'error' group by 1""",
+       from events group by 1""",
 )
 
 

@@ -137,12 +137,11 @@ DAILY_VARIANCE = [
         *DAILY_VARIANCE,
         SYMBOLS,
         ("rules", "select 'S' || s_suppkey as symbol from supplier where s_nationkey < 5"),
-        ("kept", "select * from positions where qty > -100"),
         (
             "g",
             """select w.symbol, case when k.qty is null then 0.01 * (1 - coalesce(v.variance, 0.3))
                       when r.symbol is not null then 0.01 * abs(trunc(k.qty)) else abs(trunc(k.qty)) / 1000 end as gamma
-               from wanted w left join kept k using (symbol) left join rules r using (symbol) left join lastv v using (symbol)""",
+               from wanted w left join positions k using (symbol) left join rules r using (symbol) left join lastv v using (symbol)""",
         ),
     )
     + f"select symbol, {S.cols('gamma')} from g",
@@ -152,7 +151,7 @@ def q_gamma(spark, sf_dir):
     last = C.last_bars(f_variance(daily, DAY), 1).select(
         "symbol", F.coalesce("variance", F.lit(1e-7)).alias("current_variance")
     )
-    held = fixtures.positions(spark, sf_dir).filter("qty > -100")  # the others count as having none
+    held = fixtures.positions(spark, sf_dir)
     symbols = fixtures.symbol_list(spark, sf_dir).join(last, "symbol", "left")
     variance = F.coalesce("current_variance", F.lit(0.3))
     return present(Q.gamma(symbols, held, fixtures.symbol_rules(spark, sf_dir), variance), "symbol", "gamma")
@@ -448,40 +447,49 @@ def calib_fill_time(spark, sf_dir):
     return present(d, "symbol", "distance", "placed_ts", "duration")
 
 
-@query(
-    "calib_decay_fit",
-    S.chain(
-        FILLS,
-        DURATIONS,
-        (
-            "r",
-            f"""select symbol, -regr_slope({S.ln('duration')}, "offset") as kappa, exp(regr_intercept({S.ln('duration')}, case when duration > 0 then "offset" end)) as a
-               from durations group by 1""",
-        ),
-    )
-    + f"select symbol, {S.cols('kappa', 'a')} from r",
+POINTS = (
+    "points",
+    """select symbol, "offset" as x, count(duration)::double as n, sum(duration) as d, sum(duration * duration) as dd
+       from durations where "offset" is not null group by 1, 2 having count(duration) > 0""",
 )
+
+
+def decay_sql(offset: bool) -> str:
+    """The grid of rates and its two refinements."""
+    if offset:
+        line = "(n * ed - e * d) / nullif(n * ee - e * e, 0) as a, (d - a * e) / n as c"
+    else:
+        line = "ed / nullif(ee, 0) as a, 0.0 as c"
+    steps = []
+    for k in range(3):
+        rates = ", ".join(repr(r) for r in (Q.COARSE if k == 0 else Q.FINER[k - 1]))
+        source = "(select distinct symbol, 1.0::double as kappa from points)" if k == 0 else f"best{k - 1}"
+        steps += [
+            (f"rates{k}", f"select symbol, kappa * unnest([{rates}]::double[]) as kappa from {source}"),
+            (
+                f"sums{k}",
+                f"""select symbol, kappa, sum(n) as n, sum(n * exp(-kappa * x)) as e, sum(n * exp(-kappa * x) * exp(-kappa * x)) as ee,
+                    sum(d) as d, sum(d * exp(-kappa * x)) as ed, sum(dd) as dd, count(x) as k
+                    from points join rates{k} using (symbol) group by 1, 2 {"having count(x) > 1" if offset else ""}""",
+            ),
+            (f"fits{k}", f"select *, {line}, dd - a * ed - c * d as sse from sums{k}"),
+            (
+                f"best{k}",
+                f"""select symbol, kappa, a, c, sse from (select *, row_number() over (partition by symbol
+                    order by cast(printf('%.9e', sse) as double), kappa) as r from fits{k} where sse is not null) where r = 1""",
+            ),
+        ]
+    return S.chain(FILLS, DURATIONS, POINTS, *steps)
+
+
+@query("calib_decay_fit", decay_sql(False) + f"select symbol, {S.cols('kappa', 'a', 'sse')} from best2")
 def calib_decay_fit(spark, sf_dir):
     return present(Q.decay_fit(Q.fill_time(fixtures.fills(spark, sf_dir))))
 
 
-@query(
-    "calib_decay_fit_offset",
-    S.chain(
-        FILLS,
-        DURATIONS,
-        ("points", 'select symbol, "offset" as x, avg(duration) as d from durations group by 1, 2'),
-        ("lows", "select symbol, min(d) as low from points group by 1"),
-        ("cells", f"select *, low * j / 20 as c from points join lows using (symbol), range(0, 20) t(j)"),
-        ("logs", f"select *, {S.ln('(d - c)')} as y from cells"),
-        ("fits", "select symbol, c, regr_slope(y, x) as b, regr_intercept(y, x) as i from logs group by 1, 2"),
-        ("scored", "select symbol, c, b, i, sum(power(d - (exp(i + b * x) + c), 2)) as sse from logs join fits using (symbol, c) group by 1, 2, 3, 4"),
-        ("best", "select *, row_number() over (partition by symbol order by sse, c) as r from scored where sse is not null"),
-    )
-    + f"select symbol, {S.rounded('-b', 'kappa')}, {S.rounded('exp(i)', 'a')}, {S.cols('c', 'sse')} from best where r = 1",
-)
+@query("calib_decay_fit_offset", decay_sql(True) + f"select symbol, {S.cols('kappa', 'a', 'c', 'sse')} from best2")
 def calib_decay_fit_offset(spark, sf_dir):
-    return present(Q.decay_fit_offset(Q.fill_time(fixtures.fills(spark, sf_dir))))
+    return present(Q.decay_fit(Q.fill_time(fixtures.fills(spark, sf_dir)), offset=True))
 
 
 # ---- scenarios ---------------------------------------------------------------------------
@@ -522,11 +530,6 @@ def scen_terminal_stats(spark, sf_dir):
     return present(C.terminal_stats(C.params(stored(spark, sf_dir), HOUR)))
 
 
-@query("scen_terminal_mc")
-def scen_terminal_mc(spark, sf_dir):
-    return present(C.terminal_mc(C.params(stored(spark, sf_dir), HOUR)))
-
-
 @query(
     "scen_error",
     S.chain(*SCENARIO, ("r", f"select symbol, {fin('(close * exp(drift))')} - nx as miss from s3"))

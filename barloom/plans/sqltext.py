@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def rounded(expr: str, name: str | None = None) -> str:
-    shown = f"case when abs({expr}) < 1e-9 then 0.0 else ({expr}) * 1.0000000003 end"
-    return f"cast(printf('%.6e', {shown}) as double) as {name or expr}"
+    """Twelve digits, then seven with ties away from zero, as `signif` gives them.
+
+    printf breaks ties by the binary value; the factor, smaller than the twelfth digit, puts those
+    that the first step left exactly on a tie above it. Only this text has it.
+    """
+    return f"cast(printf('%.6e', cast(printf('%.11e', {expr}) as double) * 1.0000000000001::double) as double) as {name or expr}"
 
 
 def cols(*names: str) -> str:

@@ -154,11 +154,10 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions for the symbols of `trades`; the symbol `error` holds none."""
+    """Positions for the symbols of `trades`."""
     signed = F.when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
     return (
         table(spark, sf_dir, "events")
-        .filter("event_type <> 'error'")
         .groupBy(F.col("event_type").alias("symbol"))
         .agg(F.round(F.sum(signed) / 100).alias("qty"))
     )

@@ -39,10 +39,11 @@ def read_trades(spark: SparkSession, path: str, symbols: Sequence[str] | None =
 
 
 def read_quotes_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Quote ticks from CSV with a fixed schema; Volume is read as volume."""
+    """Quote ticks from CSV with a fixed schema; Volume is read as volume. A malformed line is an error."""
     return (
         spark.read.schema(QUOTES)
         .option("header", True)
+        .option("mode", "FAILFAST")
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
         .withColumnRenamed("DateTime", "ts")

@@ -49,7 +49,7 @@ def jobs(spark, sf):
         "expand_cells": (base.count() * len(batch.BASE), lambda: batch.expanded(base, HOUR)),
         "zscore_cells": (cells, lambda: T.zscore_expanding(expanded, HOUR)),
         "winsorize_cells": (cells, lambda: T.winsorize_global(expanded)),
-        "scenario_draws": (n, lambda: C.terminal_mc(C.params(hourly, HOUR))),
+        "scenario_stats": (n, lambda: C.terminal_stats(C.params(hourly, HOUR))),
         "book_alpha": (lines, lambda: K.book_alpha(K.weighted_depth(K.book_depth(X.book_quotes(spark, sf), 10, X.BOOK_ORDER)))),
         "exit_ladder": (lines, lambda: D.match_ladder(X.positions(spark, sf), X.desk(spark, sf))),
     }

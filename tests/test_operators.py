@@ -1,5 +1,7 @@
 """Hand-made cases for bars, labels, book, quotes, decisions and streams."""
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from barloom.operators import decisions as D
 from barloom.operators import labels as L
 from barloom.operators import model as M
 from barloom.operators import quotes as Q
-from barloom.operators import scenarios as C
+from barloom.operators.orderstats import order_statistics
 from barloom.session import new_path
 from barloom.streaming import queries as S
 
@@ -140,23 +142,62 @@ def test_exit_orders_for_short_and_long(spark):
     assert one["L"].order_side == "SELL" and one["L"].stop_loss == pytest.approx(98.0) and one["L"].take_profit == pytest.approx(100.06)
 
 
-def test_cancel_limit_and_remaining(spark):
+def test_exit_of_a_negative_reservation_price(spark):
+    pos = spark.createDataFrame([("L", "LONG", 10.0)], "symbol string, side string, qty_available double")
+    desk = spark.createDataFrame([("L", -100.0, -0.1, 0.2)], "symbol string, res double, best_bid double, best_ask double")
+    r = D.match_single(pos, desk).first()
+    assert (r.take_profit, r.stop_loss, r.limit_price) == (99.4, 120.0, 100.2)
+
+
+def test_cancels_take_every_order_in_requests(spark):
+    orders = spark.range(1201).select(
+        F.col("id").alias("order_id"), F.lit("A").alias("symbol"), F.lit("buy").alias("side"), F.lit("O").alias("status")
+    )
+    gone = D.cancels(orders.repartition(7), spark.createDataFrame([("A",), ("A",)], "symbol string"))
+    assert D.remaining(orders, gone).count() == 0 and gone.count() == 1201
+    per = {r.request: (r.lo, r.hi) for r in gone.groupBy("request").agg(F.min("order_id").alias("lo"), F.max("order_id").alias("hi")).collect()}
+    assert per == {1: (701, 1200), 2: (201, 700), 3: (0, 200)}
+
+
+def test_labels_of_sparse_bars_over_block_borders(spark):
+    at = [0, 3, 17, 18, 95]
+    df = spark.createDataFrame([("A", k * 3600, 10.0 + k) for k in at], "symbol string, s long, close double")
+    bars = df.select("symbol", F.timestamp_seconds("s").alias("bar_ts"), "close")
+    got = L.labels(bars, 3600, rows=4).orderBy("bar_ts").collect()
+    assert [r.label_buy for r in got] == [1, 1, 1, 1]
+    assert [r.future_return for r in got] == pytest.approx([(10 + b) / (10 + a) - 1 for a, b in zip(at, at[1:])])
+
+
+def test_decay_fit_weighs_every_order(spark):
+    rows = [("A", x / 100, 20 * math.exp(-30 * x / 100) + 3) for x in range(1, 8)]
+    rows += [("B", 0.01, 0.0)] * 1000 + [("B", 0.02, 5.0), ("B", 0.03, 0.0)]
+    d = spark.createDataFrame(rows, "symbol string, offset double, duration double")
+    fit = {r.symbol: r for r in Q.decay_fit(d, offset=True).collect()}
+    assert (fit["A"].kappa, fit["A"].a, fit["A"].c) == (pytest.approx(30, rel=0.01), pytest.approx(20, rel=0.01), pytest.approx(3, rel=0.01))
+    # 1,000 fills against 1: the curve passes near 0 at the first distance.
+    assert abs(fit["B"].a * math.exp(-fit["B"].kappa * 0.01) + fit["B"].c) < 0.02
+
+
+def test_cancel_requests_and_remaining(spark):
     orders = spark.range(30).select(
         F.col("id").alias("order_id"), F.lit("A").alias("symbol"), F.lit("buy").alias("side"),
         F.when(F.col("id") < 3, "F").otherwise("O").alias("status"),
     )
     sym = spark.createDataFrame([("A",)], "symbol string")
-    gone = D.cancels(orders, sym, limit=10)
-    assert sorted(r.order_id for r in gone.collect()) == list(range(20, 30))
-    assert D.remaining(orders, gone).count() == 17 and D.cancels(orders, sym, side="sell").count() == 0
-
-
-def test_scenario_draws_agree_with_closed_form(spark):
-    p = spark.createDataFrame([("A", 100.0, 0.01, 0.2), ("N", 1.0, None, 0.2)], "symbol string, s0 double, drift double, vol double")
-    mc, exact = C.terminal_mc(p, 20000).first(), C.terminal_stats(p).filter("symbol = 'A'").first()
-    assert mc["mean"] == pytest.approx(exact["mean"], rel=0.01) and mc["std"] == pytest.approx(exact["std"], rel=0.03)
-    assert mc["median"] == pytest.approx(exact["p50"], rel=0.01)
-    assert C.terminal_mc(p.repartition(3), 20000).first() == mc
+    gone = D.cancels(orders, sym, per_request=10)
+    assert sorted(r.order_id for r in gone.filter("request = 1").collect()) == list(range(20, 30))
+    assert D.remaining(orders, gone).count() == 0 and D.cancels(orders, sym, side="sell").count() == 0
+
+
+def test_order_statistics_of_values_close_together(spark):
+    """400,000 values near 1 and an outlier: steps go on until no group of values is large."""
+    n = 400_000
+    df = spark.range(n).select(F.lit("A").alias("k"), (1 + F.col("id") * 1e-12).alias("v"))
+    df = df.union(spark.createDataFrame([("A", 1e9), ("A", -5.0), ("B", 2.0), ("B", 2.0), ("B", None)], "k string, v double"))
+    wanted = spark.createDataFrame([("A", "lo", 2), ("A", "mid", 200_001), ("A", "hi", n + 2), ("B", "x", 2)], "k string, name string, rank long")
+    for few in (True, False):
+        got = {(r.k, r.name): r.v for r in order_statistics(df, ["k"], "v", wanted, few=few).collect()}
+        assert got == {("A", "lo"): 1.0, ("A", "mid"): 1 + 199_999 * 1e-12, ("A", "hi"): 1e9, ("B", "x"): 2.0}
 
 
 def test_model_beats_constant_and_repeats(spark):
