@@ -34,7 +34,9 @@ def train(
     iterations: int = 20,
     params: Params = Params(),
     seed: int = 42,
+    valid: str | None = None,
 ) -> PipelineModel:
+    """Fit on the rows; with `valid`, a boolean column, its rows only stop the boosting when they no longer gain."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     booster = GBTClassifier(
         featuresCol="features",
@@ -46,8 +48,11 @@ def train(
         subsamplingRate=params.subsample,
         seed=seed,
     )
-    vectors = assembler.transform(df.select(*features, F.col(label).cast("double").alias(label)))
-    return PipelineModel([assembler, booster.fit(vectors.select("features", label))])
+    held = [valid] if valid else []
+    if valid:
+        booster = booster.setValidationIndicatorCol(valid)
+    vectors = assembler.transform(df.select(*features, F.col(label).cast("double").alias(label), *held))
+    return PipelineModel([assembler, booster.fit(vectors.select("features", label, *held))])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

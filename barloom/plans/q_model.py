@@ -1,4 +1,8 @@
-"""Model queries over hourly features. SQL cannot say these, so only their rows are checked."""
+"""Model queries over hourly features.
+
+SQL cannot fit trees. Where a query has a text, that says what does not depend on the fit: keys,
+counts per split, that a stored model predicts as the fitted one does. Values are tested in tests/.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,9 @@ from barloom.functions.numeric import sanitize
 from barloom.operators import features as A
 from barloom.operators import labels as L
 from barloom.operators import model as M
+from barloom.plans import sqltext as S
 from barloom.plans.catalog import HOUR, present, query
+from barloom.plans.q_decisions import LABELLED
 from barloom.plans.q_features import hourly
 from barloom.session import materialize, new_path
 from barloom.sources.sinks import load_model, save_model
@@ -27,17 +33,39 @@ def table(spark, sf_dir):
 
 
 def trained(spark, sf_dir, label):
+    """Fitted on the training rows until the validation rows gain nothing any more."""
     stored, labelled = table(spark, sf_dir)
-    parts = materialize(L.split_time(labelled, HOUR), "split")
-    return stored, parts, M.train(parts.filter("split = 'train'"), FEATURES, label, iterations=10)
-
-
-@query("ml_train_classifier")
+    parts = materialize(L.split_time(labelled, HOUR), "split").withColumn("_valid", F.col("split") == "valid")
+    used = parts.filter("split in ('train', 'valid')")
+    return stored, parts.drop("_valid"), M.train(used, FEATURES, label, iterations=25, valid="_valid")
+
+
+LAST_TWO = S.chain(*S.bars(HOUR), ("r", "select symbol, bar_ts, row_number() over (partition by symbol order by bar_ts desc) as r from bars"))
+
+
+@query(
+    "ml_train_classifier",
+    S.chain(
+        *LABELLED,
+        ("p0", f"select *, row_number() over {S.SEQ} - 1 as pos, count(*) over {S.ALL} as n from n3"),
+        ("p1", "select *, cast(round_even(n / 2.0, 0) as bigint) as half from p0"),
+        ("p2", "select *, half - ceil(half * cast(0.55 as double)) as train, greatest(n - half - 1, 0) as rest from p1"),
+        (
+            "p3",
+            """select *, case when pos < train then 'train' when pos < half then 'test' when pos = half then 'gap'
+               when pos <= half + (rest - ceil(rest * cast(0.35 as double))) then 'valid' else 'valid2' end as split from p2""",
+        ),
+    )
+    + "select split, count(*) as rows, count(*) filter (label_buy = 1) as ups, true as scored from p3 group by 1",
+)
 def ml_train_classifier(spark, sf_dir):
-    """Metrics per split of the classifier fitted on the training rows."""
+    """Rows per split that the fitted classifier scored; the metrics themselves are in `eval_metrics`."""
     _, parts, model = trained(spark, sf_dir, "label_buy")
-    scored = M.predict(model, parts).withColumn("y", F.col("label_buy"))
-    return present(L.metrics(scored, "split"))
+    scored = M.predict(model, parts)
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label_buy") == 1).alias("ups"),
+        F.every(F.col("pred").isin(0, 1)).alias("scored"),
+    )
 
 
 @query("ml_features_select")
@@ -62,19 +90,27 @@ def ml_search(spark, sf_dir):
     return present(spark.createDataFrame(rows, schema))
 
 
-@query("ml_predict")
+@query(
+    "ml_predict",
+    LAST_TWO + "select side, symbol, bar_ts, r = 1 as newest, true as predicted from r, (values ('BUY'), ('SELL')) s(side) where r <= 2",
+)
 def ml_predict(spark, sf_dir):
-    """Predictions for the last two bars per symbol, with the columns the model was trained on."""
-    stored, _, model = trained(spark, sf_dir, "label_sell")
-    return present(M.predict_last(model, stored), "symbol", "bar_ts", "pred", "newest")
+    """Predictions of both sides' models for the last two bars per symbol."""
+    out = None
+    for side, label in (("BUY", "label_buy"), ("SELL", "label_sell")):
+        stored, _, model = trained(spark, sf_dir, label)
+        last = M.predict_last(model, stored).withColumn("predicted", F.col("pred").isin(0, 1))
+        last = last.select(F.lit(side).alias("side"), "symbol", "bar_ts", "newest", "predicted")
+        out = last if out is None else out.unionByName(last)
+    return present(out)
 
 
-@query("sink_model")
+@query("sink_model", LAST_TWO + "select symbol, bar_ts, true as same from r where r <= 2")
 def sink_model(spark, sf_dir):
     """Save and load the model of a side, and compare its predictions with the original's."""
     stored, _, model = trained(spark, sf_dir, "label_buy")
     root = new_path(spark, "models")
     save_model(model, root, "ALL", "BUY")
     again = M.predict_last(load_model(root, "ALL", "BUY"), stored).withColumnRenamed("pred", "pred_loaded")
-    first = M.predict_last(model, stored).select("symbol", "bar_ts", "pred")
-    return present(first.join(again.select("symbol", "bar_ts", "pred_loaded"), ["symbol", "bar_ts"]))
+    both = M.predict_last(model, stored).select("symbol", "bar_ts", "pred").join(again, ["symbol", "bar_ts"])
+    return present(both.select("symbol", "bar_ts", (F.col("pred") == F.col("pred_loaded")).alias("same")))
