@@ -70,13 +70,12 @@ def stream_vwap(spark, sf_dir):
 )
 def stream_upsert_bars(spark, sf_dir):
     """Bars are revised in every micro-batch that touches them; the kept table has the last form."""
-    out = new_path(spark, "bars-log")
+    out = new_path(spark, "kept-bars")
     trades = Q.trade_stream(spark, trade_files(spark, sf_dir), files_per_trigger=2)
     # In update mode each bar is sent again whenever it changes; nothing is late with so long a delay.
-    Q.run(
-        Q.stream_bars(trades, HOUR, "60 days"), new_path(spark, "stream-state"), each=Q.batch_writer(out), mode="update"
-    )
-    return present(Q.kept_bars(spark, out))
+    bars = Q.stream_bars(trades, HOUR, "60 days")
+    Q.run(bars, new_path(spark, "stream-state"), each=Q.upsert_writer(spark, out, bars), mode="update")
+    return present(Q.kept_bars(bars, out))
 
 
 @query("stream_rsi", rsi_sql(14, ("close",), "bars").replace("as rsi_close", "as rsi"))

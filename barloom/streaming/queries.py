@@ -6,8 +6,10 @@ data there is (availableNow) or keeps it going with a trigger interval.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.operators.bars import bars_upsert
 from barloom.operators.decisions import take_profit
+from barloom.session import materialize
 from barloom.sources.trades import TRADES
 
 
@@ -62,16 +66,30 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def kept_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars kept by `batch_writer`: per bin, each column's newest known value.
+def upsert_writer(spark: SparkSession, path: str, bars: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that upserts bars into a table with one folder per day.
 
-    The result of upserting one micro-batch after the other. A batch writes its own bars only, so
-    its cost does not grow with the history; the merge is one aggregation by (symbol, bar).
+    Only the days that a micro-batch touches are read and written again; a repeated batch changes
+    nothing. `bars` gives the columns.
     """
-    log = spark.read.parquet(path)
-    values = [c for c in log.columns if c not in ("symbol", "bar_ts", "batch")]
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c)
-    return log.groupBy("symbol", "bar_ts").agg(*[newest(c) for c in values])
+    schema = T.StructType([*bars.schema.fields, T.StructField("day", T.DateType())])
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("day").parquet(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = materialize(batch.withColumn("day", F.to_date("bar_ts")), "batch")
+        kept = batch.sparkSession.read.schema(schema).parquet(path)
+        old = kept.join(new.select("day").distinct(), "day", "left_semi")
+        merged = bars_upsert(new.drop("day"), old.drop("day")).withColumn("day", F.to_date("bar_ts"))
+        merged = materialize(merged, "merged")  # the folders are still being read
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    return write
+
+
+def kept_bars(bars: DataFrame, path: str) -> DataFrame:
+    """The table that `upsert_writer` keeps; `bars` gives the columns."""
+    schema = T.StructType([*bars.schema.fields, T.StructField("day", T.DateType())])
+    return bars.sparkSession.read.schema(schema).parquet(path).select(*bars.columns)
 
 
 def newest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -94,28 +112,48 @@ RSI_STATE = T.StructType(
         T.StructField("last", T.DoubleType()),
         T.StructField("gain", T.DoubleType()),
         T.StructField("loss", T.DoubleType()),
+        T.StructField("seen", T.LongType()),
     ]
 )
+CHUNK = 256  # decay over so many rows is still far from the least double
+
+
+def smoothed(moves: np.ndarray, state: float, first: int, n: int) -> np.ndarray:
+    """Wilder average after each move; the first `first` of them still belong to the opening mean."""
+    head = state + np.cumsum(moves[:first]) / n
+    out, state = [head], float(head[-1]) if first else state
+    for lo in range(first, len(moves), CHUNK):
+        part = moves[lo : lo + CHUNK]
+        decay = ((n - 1) / n) ** np.arange(1, len(part) + 1)
+        out.append((state + np.cumsum(part / n / decay)) * decay)
+        state = float(out[-1][-1])
+    return np.concatenate(out)
 
 
 def stream_rsi(bars: DataFrame, column: str = "close", n: int = 14) -> DataFrame:
-    """RSI carried over micro-batches in four numbers per symbol. Bars must arrive in time order."""
+    """RSI carried over micro-batches in five numbers per symbol.
+
+    Within a micro-batch bars may come in any order. A bar at or before the last one of an earlier
+    micro-batch is late or repeated and is left out, since the values after it are already out. A
+    missing value moves nothing.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, last, gain, loss = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        frame = pd.concat(list(parts)).sort_values("bar_ts")
-        out = []
-        for value in frame[column].to_numpy():
-            change = value - last if rows else 0.0
-            up, down = max(change, 0.0), max(-change, 0.0)
-            if rows <= n:  # the first n changes enter as one mean
-                gain, loss = gain + up / n, loss + down / n
-            else:
-                gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
-            out.append(None if rows <= n else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss))
-            rows, last = rows + 1, float(value)
-        state.update((rows, last, float(gain), float(loss)))
-        yield pd.DataFrame({"symbol": key[0], "bar_ts": frame["bar_ts"].to_numpy(), "rsi": pd.Series(out, dtype="float64")})
+        rows, last, gain, loss, seen = state.get if state.exists else (0, math.nan, 0.0, 0.0, np.iinfo(np.int64).min)
+        frame = pd.concat(list(parts)).drop_duplicates("bar_ts").sort_values("bar_ts")
+        at = frame["bar_ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        frame, at = frame[at > seen], at[at > seen]
+        if not len(frame):
+            return
+        value = frame[column].astype("float64").ffill().fillna(last).to_numpy()
+        change = np.nan_to_num(np.diff(value, prepend=last))
+        first = min(max(n + 1 - rows, 0), len(value))
+        up, down = (smoothed(np.maximum(x, 0), s, first, n) for x, s in ((change, gain), (-change, loss)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
+        shown = pd.Series(out, dtype="float64").where(np.arange(rows, rows + len(out)) > n, None)
+        state.update((rows + len(value), float(value[-1]), float(up[-1]), float(down[-1]), int(at[-1])))
+        yield pd.DataFrame({"symbol": key[0], "bar_ts": frame["bar_ts"].to_numpy(), "rsi": shown})
 
     return (
         bars.select("symbol", "bar_ts", column)

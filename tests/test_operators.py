@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -214,11 +215,32 @@ def test_model_beats_constant_and_repeats(spark):
 
 
 def test_repeated_micro_batch_changes_nothing(spark):
-    path = new_path(spark, "bars-log")
-    write = S.batch_writer(path)
-    ts = pd.to_datetime(["2024-01-01 00:00", "2024-01-01 01:00"])
-    write(spark.createDataFrame(pd.DataFrame({"symbol": "A", "bar_ts": ts, "close": [1.0, 2.0]})), 0)
-    second = spark.createDataFrame(pd.DataFrame({"symbol": "A", "bar_ts": ts[1:], "close": [5.0]}))
+    path = new_path(spark, "kept-bars")
+    ts = pd.to_datetime(["2024-01-01 00:00", "2024-01-02 01:00"])
+    first = spark.createDataFrame(pd.DataFrame({"symbol": "A", "bar_ts": ts, "close": [1.0, 2.0]}))
+    write = S.upsert_writer(spark, path, first)
+    write(first, 0)
+    second = spark.createDataFrame(pd.DataFrame({"symbol": ["A", "B"], "bar_ts": ts[1:].repeat(2), "close": [5.0, 7.0]}))
     write(second, 1)
     write(second, 1)
-    assert sorted(r.close for r in S.kept_bars(spark, path).collect()) == [1.0, 5.0]
+    assert sorted(r.close for r in S.kept_bars(first, path).collect()) == [1.0, 5.0, 7.0]
+
+
+def test_streamed_rsi_with_late_and_repeated_bars(spark):
+    from barloom.operators.rsi import rsi
+
+    rng = np.random.default_rng(2)
+    n = 700
+    pdf = pd.DataFrame({"symbol": "A", "bar_ts": pd.date_range("2024-01-01", periods=n, freq="h"), "close": 100 + rng.normal(size=n).cumsum()})
+    bars = spark.createDataFrame(pdf)
+    path = new_path(spark, "rsi-in")
+    # Shuffled inside a batch; the second batch repeats the end of the first and has one late bar.
+    for lo, hi, extra in ((0, 400, []), (380, 700, [17])):
+        part = pd.concat([pdf.iloc[lo:hi], pdf.iloc[extra]]).sample(frac=1, random_state=1)
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = new_path(spark, "rsi-out")
+    S.run(S.stream_rsi(stream), new_path(spark, "rsi-state"), path=out)
+    got = spark.read.parquet(out).orderBy("bar_ts").toPandas()
+    want = rsi(bars, 3600, ["close"]).orderBy("bar_ts").toPandas()
+    assert len(got) == n and np.allclose(got["rsi"], want["rsi_close"], equal_nan=True)
