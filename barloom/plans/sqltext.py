@@ -9,7 +9,8 @@ def rounded(expr: str, name: str | None = None) -> str:
     printf breaks ties by the binary value; the factor, smaller than the twelfth digit, puts those
     that the first step left exactly on a tie above it. Only this text has it.
     """
-    return f"cast(printf('%.6e', cast(printf('%.11e', {expr}) as double) * 1.0000000000001::double) as double) as {name or expr}"
+    clean = f"case when abs({expr}) < 1e-12 then 0.0::double else cast(printf('%.11e', {expr}) as double) end"
+    return f"cast(printf('%.6e', ({clean}) * 1.0000000000001::double) as double) as {name or expr}"
 
 
 def cols(*names: str) -> str:
