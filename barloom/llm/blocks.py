@@ -18,7 +18,7 @@ BLOCK = 256
 
 
 def block_pairs(rows: DataFrame, keys: list[str], member: str, size: int = BLOCK) -> DataFrame:
-    """Rows of groups of two or more, with `_i`, `_j` (the block) and `_c` (the row's chunk), blocks together and in order.
+    """Rows of groups of two or more, with `_i`, `_j` (the block) and `_c` (the row's chunk).
 
     In block (i, i) all pairs are to be compared, in block (i, j) those of different chunks; so
     every pair of a group meets in one block.
@@ -27,8 +27,12 @@ def block_pairs(rows: DataFrame, keys: list[str], member: str, size: int = BLOCK
     r = rows.join(n, keys).withColumn("_m", F.ceil(F.col("_n") / F.lit(size)).cast("int"))
     r = r.withColumn("_c", F.pmod(F.xxhash64(member), F.col("_m")).cast("int"))
     r = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    r = r.withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")).drop("_o", "_m", "_n")
-    return r.repartition(*keys, "_i", "_j").sortWithinPartitions(*keys, "_i", "_j")
+    return r.withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")).drop("_o", "_m", "_n")
+
+
+def together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each block in a run of one sorted partition, for `runs`."""
+    return rows.repartition(*keys, "_i", "_j").sortWithinPartitions(*keys, "_i", "_j")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

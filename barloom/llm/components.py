@@ -23,15 +23,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(small, "edges")
         # Settled when each id has one root and no root is itself hooked to another id.
-        twice = new.groupBy("a").count().where("count > 1")
-        hooked = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        if twice.isEmpty() and hooked.isEmpty():
+        ends = new.selectExpr("a as id", "1 as hooks", "0 as root").union(new.selectExpr("b", "0", "1"))
+        open_ = ends.groupBy("id").agg(F.sum("hooks").alias("hooks"), F.max("root").alias("root"))
+        if open_.where("hooks > 1 or (hooks > 0 and root > 0)").isEmpty():
             roots = new.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             return new.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
         e = new

@@ -141,7 +141,7 @@ def near_duplicates(
     full = entries.groupBy("_t", "_s").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_t", "_s")
     met = entries.join(full, ["_t", "_s"], "left_semi").join(reps.select("_rep", "_copies", "_v"), "_rep")
     met = B.block_pairs(met, ["_t", "_s"], "_rep")
-    met = met.select("_t", "_s", "_i", "_j", "_c", "_rep", "_copies", "_v")
+    met = B.together(met.select("_t", "_s", "_i", "_j", "_c", "_rep", "_copies", "_v"), ["_t", "_s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Coder(tables)

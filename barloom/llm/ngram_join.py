@@ -137,7 +137,7 @@ def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """
     bar = threshold - 4 * sqrt(threshold * (1 - threshold) / POSITIONS)
     met = B.block_pairs(buckets(reps, threshold, recall), ["node"], "_rep").join(reps.select("_rep", "_sig"), "_rep")
-    met = met.repartition("node", "_i", "_j").sortWithinPartitions("node", "_i", "_j").select("node", "_i", "_j", "_c", "_rep", "_sig")
+    met = B.together(met.select("node", "_i", "_j", "_c", "_rep", "_sig"), ["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in B.runs(batches, ["node", "_i", "_j"]):
@@ -188,6 +188,7 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float, width: int) ->
     full = full.dropDuplicates(["_rep"])
     full = materialize(full.mapInArrow(spell, "_g long, _rep long, _copies long, _set binary"), "sets")
     met = B.block_pairs(full, ["_g"], "_rep").select("_g", "_i", "_j", "_c", "_rep", "_copies", "_set")
+    met = B.together(met, ["_g"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in B.runs(batches, ["_g", "_i", "_j"]):
@@ -232,8 +233,8 @@ def similarity_classes(
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sig = describe(d, width)
-    one = sig.where("_n > 0").groupBy("_id").agg(F.min("_a").alias("_a")).join(sig, ["_id", "_a"]).dropDuplicates(["_id"])
-    one = materialize(one, "sets-by-id")
+    least = F.min_by(F.struct("_n", "_a", "_b", "_sig"), F.struct("_a", "_b")).alias("s")
+    one = materialize(sig.where("_n > 0").groupBy("_id").agg(least).select("_id", "s.*"), "sets-by-id")
     reps = one.groupBy("_a", "_b").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_sig").alias("_sig"))
     reps = materialize(reps, "sets")
     near = components(candidates(reps, threshold, recall))
