@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items; Smith-Waterman scores the copies."""
+"""Benchmark decontamination: seeds of three words join texts to test items; Smith-Waterman scores the copies."""
 
 from __future__ import annotations
 
@@ -31,47 +31,72 @@ def grams(words: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
     return keys, np.repeat(np.arange(len(words)), n), np.concatenate([np.arange(k) for k in n]) if n else np.empty(0, np.int64)
 
 
-def corpus_counts(docs: DataFrame, keys: np.ndarray, width: int) -> np.ndarray:
-    """How often each n-gram stands in all texts. Tasks send one partial count per n-gram of the block."""
-    known = np.unique(keys)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = A.Index([], width, known, np.zeros(len(known), np.int64), np.zeros(len(known), np.int64))
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            for s in T.slices(b.column(1)):
-                w, h = A.plain_words(s)
-                at = T.window_rows(w, width)
-                total += np.bincount(index.hits(T.window_hash(h, width)[at])[1], minlength=len(known))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
-
-    got = docs.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(known), np.int64)
-    out[got["k"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-    return out[np.searchsorted(known, keys)]
-
-
-def rare_seeds(counts: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
-    """Mask: of every `window` n-grams in a row of one item, the rarest in the corpus (the first of equals).
-
-    So every unchanged stretch of window + width - 1 words holds a seed, however common the item is.
-    """
-    keep = np.zeros(len(counts), bool)
-    edges = np.flatnonzero(np.diff(owner, prepend=-1))
-    for lo, hi in zip(edges, np.append(edges[1:], len(owner)), strict=True):
-        c = counts[lo:hi]
-        for k in range(max(1, len(c) - window + 1)):
-            keep[lo + k + int(np.argmin(c[k : k + window]))] = True
-    return keep
+# Word offsets of seeds. Items hold the first three, texts are looked up with all of them, and any
+# shape of one side meets any shape of the other.
+ITEM_SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+TEXT_SHAPES = (*ITEM_SHAPES, (0, 2, 4), (0, 1, 4), (0, 3, 4))
+
+
+def triples(h: np.ndarray, at: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at the offsets of the shape from each start."""
+    out = h[at + shape[0]]
+    for k in shape[1:]:
+        out = out * T.P1 + h[at + k]
+    return T.mix(out)
+
+
+def seeds(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, item, position) of every item triple of every shape, however common."""
+    keys, owner, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for shape in ITEM_SHAPES:
+        for i, h in enumerate(words):
+            at = np.arange(max(0, len(h) - shape[-1]))
+            keys.append(triples(h, at, shape))
+            owner.append(np.full(len(at), i))
+            place.append(at)
+    return np.concatenate(keys), np.concatenate(owner), np.concatenate(place)
+
+
+class Bags:
+    """The words of each item with their counts: at most so many can match in a stretch of text."""
+
+    def __init__(self, words: list[np.ndarray]):
+        bags = [np.unique(h, return_counts=True) for h in words]
+        self.size = np.array([len(u) for u, _ in bags], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.count = np.concatenate([np.empty(0, np.int64), *[c for _, c in bags]])
+        owner = np.repeat(np.arange(len(words)), self.size)
+        keys = self.key(np.concatenate([np.empty(0, np.uint64), *[u for u, _ in bags]]), owner)
+        self.index = A.Index([], 1, keys, owner, np.arange(len(keys)) - self.first[owner])
+
+    @staticmethod
+    def key(word: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return T.mix(word * T.P1 + owner.astype(np.uint64))
+
+    def bound(self, h: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Per stretch the words it has in common with its item, each as often as both hold it."""
+        out = np.zeros(len(owner), np.int64)
+        upto = np.cumsum(end - start)
+        lo = 0
+        while lo < len(owner):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), "right")))
+            o, s, n = owner[lo:hi], start[lo:hi], (end - start)[lo:hi]
+            k = np.repeat(np.arange(len(o)), n)
+            at = np.arange(len(k)) + np.repeat(s - (np.cumsum(n) - n), n)
+            hit, slot = self.index.hits(self.key(h[at], o[k]))
+            base = np.cumsum(self.size[o]) - self.size[o]
+            total = int(self.size[o].sum())
+            here = np.bincount(base[k[hit]] + self.index.place[slot], minlength=total)
+            most = self.count[np.arange(total) + np.repeat(self.first[o] - base, self.size[o])]
+            out[lo:hi] = np.add.reduceat(np.minimum(here, most), base)
+            lo = hi
+        return out
 
 
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     threshold: float = 0.5,
-    width: int = 3,
-    window: int = 4,
     least: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -83,7 +108,13 @@ def contaminated(
 
     Words are runs of letters and digits in lower case. A pair is reported if its alignment reaches
     `threshold` of the item's full score and `least` matched words (all words of a shorter item).
-    Items shorter than `width` words, null or empty, and null texts match nothing; null ids of texts
+    Seeds are three words matched in a row with at most one word lost, or two put in, between them;
+    all are used, rare or common. For `threshold` 0.5 and `least` 7 or more, every pair that is to be
+    reported has one if 7 words match: with w = item words lost + errors in a gap between matches, a
+    score of half the full one needs sum(w) <= matches, but neighbouring gaps without a seed have
+    w >= 3 together, which is more from 7 matches on. Shorter items (and lower thresholds) can miss
+    copies with several words put in at more than one place.
+    Items shorter than three words, null or empty, and null texts match nothing; null ids of texts
     are reported with a null id. Repeated texts are reported each, repeated items too. Long texts are
     searched whole. An empty table on either side gives an empty result. Other columns are not read.
 
@@ -100,11 +131,10 @@ def contaminated(
     for k in range(blocks if size.n else 0):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").toPandas()
         ids, words = part["i"].to_numpy(), item_words(part["t"].to_list())
-        keys, owner, place = grams(words, width)
+        keys, owner, place = seeds(words)
         if not len(keys):
             continue
-        keep = rare_seeds(corpus_counts(d, keys, width), owner, window)
-        index = A.Index(words, width, keys[keep], owner[keep], place[keep])
+        index = A.Index(words, 3, keys, owner, place)
         found.append(d.mapInArrow(_search(index, ids, threshold, least), SCHEMA))
     if not found:
         return spark.createDataFrame([], SCHEMA).withColumnRenamed("_id", id_col)
@@ -116,14 +146,23 @@ def contaminated(
 
 def _search(index: A.Index, ids: np.ndarray, threshold: float, least: int):
     size = np.array([len(w) for w in index.words], np.int64)
+    need = np.maximum(np.ceil(threshold * size - 1e-9), np.minimum(least, size))
+    bags = Bags(index.words)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b.column(1)):
                 w, h = A.plain_words(s)
-                at = T.window_rows(w, index.width)
-                hit, seed = index.hits(T.window_hash(h, index.width)[at])
-                row, owner, start, end, lo, hi = A.candidates(index, w, at[hit], seed, 0.5)
+                at, seed = [], []
+                for shape in TEXT_SHAPES:
+                    begin = T.window_rows(w, shape[-1] + 1)
+                    hit, found = index.hits(triples(h, begin, shape))
+                    at.append(begin[hit])
+                    seed.append(found)
+                # An alignment of half the full score or more shifts by the item's length at most.
+                found = A.candidates(index, w, np.concatenate(at), np.concatenate(seed), 1.0)
+                few = bags.bound(h, found[1], found[2], found[3]) < need[found[1]]
+                row, owner, start, end, lo, hi = (x[~few] for x in found)
                 got = A.align_all(index, h, owner, start, end, lo, hi, None)
                 full = size[owner]
                 ok = (got.score >= threshold * A.MATCH * full) & (got.matches >= np.minimum(least, full))

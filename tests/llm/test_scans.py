@@ -71,6 +71,32 @@ def test_decontamination(spark):
     assert both.where("doc_id is null").count() == len(truth)
 
 
+@pytest.mark.parametrize("beside_verbatim", [False, True])
+def test_edited_copies(spark, beside_verbatim):
+    """Copies with a word replaced in every 3 to 6, or words put in after each, whose own triples are the rarest of the corpus."""
+    r = random.Random(11)
+    vocab = [f"q{k}" for k in range(4000)] + ["the", "of", "and"] * 300
+    items, docs, want = [], [], set()
+    for n in (17, 30, 40, 60):
+        for step in (3, 4, 5, 6, 0):
+            item, text = len(items), [r.choice(vocab) for _ in range(n)]
+            items.append((item, " ".join(text)))
+            copy = [f"new{item}x{k}" if step and k % step == step - 1 else x for k, x in enumerate(text)]
+            if not step:
+                copy = " put ".join(text).split()
+            assert plain_alignment(text, copy) >= n
+            docs.append((item, " ".join([r.choice(vocab) for _ in range(20)] + copy + [r.choice(vocab) for _ in range(20)])))
+            want.add((item, item))
+            if beside_verbatim:
+                docs.append((1000 + item, " ".join(text)))
+                want.add((1000 + item, item))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+    for x in got:
+        assert x.score == plain_alignment(items[x.item_id][1].split(), dict(docs)[x.doc_id].split())
+
+
 def test_licenses(spark):
     r = random.Random(7)
     rows, want = [], set()
