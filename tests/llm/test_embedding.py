@@ -58,6 +58,25 @@ def test_recall_at_the_threshold(spark):
     assert got / len(x) >= 0.95
 
 
+@pytest.mark.parametrize("common", [0.5, 0.7, 0.8])
+def test_recall_with_a_strong_mean(spark, common):
+    """Pairs just above 0.9 among vectors whose cosines are all about `common`."""
+    r = np.random.default_rng(5)
+    n, d = 1000, 64
+    u, z = r.standard_normal((2, n, d))
+    u[:, 0] = z[:, 0] = 0
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    z -= (z * u).sum(1, keepdims=True) * u
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = (0.905 - common) / (1 - common)
+    x = np.sqrt(1 - common) * np.concatenate([u, c * u + np.sqrt(1 - c * c) * z])
+    x[:, 0] = np.sqrt(common)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = (x @ x.T >= 0.9).sum() - len(x)
+    got = near_duplicates(df).selectExpr("sum(n_links)").first()[0]
+    assert 0.95 * want <= got <= want
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_odd_rows(spark, kind):
     nan, inf = float("nan"), float("inf")
