@@ -17,17 +17,33 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def block_pairs(rows: DataFrame, keys: list[str], member: str, size: int = BLOCK) -> DataFrame:
-    """Rows of groups of two or more, with `_i`, `_j` (the block) and `_c` (the row's chunk).
+def chunked(rows: DataFrame, keys: list[str], member: str, size: int = BLOCK, weight: str | None = None, most: int = 1 << 23) -> DataFrame:
+    """Rows of groups of two or more, with the number `_m` of the group's chunks and the row's own, `_c`.
+
+    A chunk has about `size` rows, and with a `weight` per row (bytes) no more than about `most` of it.
+    """
+    parts = F.ceil(F.col("_n") / F.lit(size))
+    sums = [F.count(F.lit(1)).alias("_n")]
+    if weight:
+        sums.append(F.sum(F.col(weight).cast("double")).alias("_w"))
+        parts = F.greatest(parts, F.least(F.ceil(F.col("_w") / F.lit(most)), F.col("_n")))
+    n = rows.groupBy(*keys).agg(*sums).where("_n > 1")
+    r = rows.join(n, keys).withColumn("_m", parts.cast("int"))
+    return r.withColumn("_c", F.pmod(F.xxhash64(member, *keys), F.col("_m")).cast("int")).drop("_n", "_w")
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """Chunked rows once per chunk that theirs meets, with `_i`, `_j` (the block).
 
     In block (i, i) all pairs are to be compared, in block (i, j) those of different chunks; so
     every pair of a group meets in one block.
     """
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    r = rows.join(n, keys).withColumn("_m", F.ceil(F.col("_n") / F.lit(size)).cast("int"))
-    r = r.withColumn("_c", F.pmod(F.xxhash64(member), F.col("_m")).cast("int"))
-    r = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    return r.withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")).drop("_o", "_m", "_n")
+    r = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    return r.withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o")).drop("_o", "_m")
+
+
+def block_pairs(rows: DataFrame, keys: list[str], member: str, size: int = BLOCK) -> DataFrame:
+    return paired(chunked(rows, keys, member, size))
 
 
 def together(rows: DataFrame, keys: list[str]) -> DataFrame:

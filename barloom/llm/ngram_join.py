@@ -16,8 +16,9 @@ from barloom.llm.components import components
 from barloom.session import materialize
 
 POSITIONS = 64  # sampled tokens per set: minima under so many hash functions
-LIMIT = 64  # buckets up to this size are compared at once
-DEPTH = 4
+LIMIT = 64  # buckets up to this size are compared at once; a level makes large buckets so many times smaller, about
+FIRST_RUNS = 2  # runs after whose links the others look for what is not yet connected
+CHUNK = 2048  # sets of a chunk of a large bucket or group
 MULTIPLIERS = T.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -37,14 +38,19 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def runs_for(recall: float) -> int:
+def depth_for(n: int) -> int:
+    """Levels until buckets of n sets that share nothing but chance are small: grows with the logarithm of n."""
+    return 1 + max(1, int(np.ceil(log(max(n / LIMIT, 1.0)) / log(LIMIT))))
+
+
+def runs_for(recall: float, depth: int) -> int:
     """Runs after which a pair at the threshold shares a last-level node with the probability asked for.
 
     With tokens sampled at 1 / (threshold * positions), such a pair shares one child of a shared
     node on average, Poisson distributed; `alive` is the chance that its line of nodes lasts.
     """
     alive = 1.0
-    for _ in range(DEPTH):
+    for _ in range(depth):
         alive = 1 - exp(-alive)
     return max(1, int(np.ceil(log(1 - recall) / log(1 - alive))))
 
@@ -89,14 +95,19 @@ def _sig(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def buckets(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(node, _rep) rows of the buckets to compare.
+    """(node, _first, _rep) rows of the buckets to compare; `_first` marks those of the first runs.
 
     Level by level: every set goes to the children of its node that belong to the tokens the node
     samples and the set holds. Nodes with one set end, nodes with up to LIMIT sets are buckets, and
     only larger ones are split again; what is still large at the last level is a bucket, too.
     """
-    roots = T.mix(np.arange(1, runs_for(recall) + 1, dtype=np.uint64))
+    deepest = depth_for(reps.count())
+    roots = T.mix(np.arange(1, runs_for(recall, deepest) + 1, dtype=np.uint64))
     run, position = np.nonzero(chosen(roots, threshold))
+    schema = "node long, _first boolean, _rep long"
+
+    def rows(node: np.ndarray, first: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(T.signed(node)), pa.array(first), pa.array(rep)], ["node", "_first", "_rep"])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,58 +115,80 @@ def buckets(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
             for lo in range(0, len(rep), 4096):
                 part = sig[lo : lo + 4096]
                 node = child(np.tile(roots[run], len(part)), np.tile(position, len(part)), part[:, position].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(node)), pa.array(np.repeat(rep[lo : lo + 4096], len(run)))], ["node", "_rep"])
+                yield rows(node, np.tile(run < FIRST_RUNS, len(part)), np.repeat(rep[lo : lo + 4096], len(run)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, rep, sig = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), _sig(b.column(2))
+            node, rep, sig = b.column(0).to_numpy().view(np.uint64), b.column(2).to_numpy(), _sig(b.column(3))
+            first = b.column(1).to_numpy(zero_copy_only=False)
             for lo in range(0, len(rep), 4096):
                 at, position = np.nonzero(chosen(node[lo : lo + 4096], threshold))
                 at += lo
-                new = child(node[at], position, sig[at, position])
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(new)), pa.array(rep[at])], ["node", "_rep"])
+                yield rows(child(node[at], position, sig[at, position]), first[at], rep[at])
 
-    level = materialize(reps.select("_rep", "_sig").mapInArrow(start, "node long, _rep long"), "paths")
+    level = materialize(reps.select("_rep", "_sig").mapInArrow(start, schema), "paths")
     out = None
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, deepest + 1):
         size = level.groupBy("node").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
         sized = materialize(level.join(size, "node"), "nodes")
-        leaf = sized if depth == DEPTH else sized.where(F.col("_k") <= LIMIT)
+        leaf = sized if depth == deepest else sized.where(F.col("_k") <= LIMIT)
         out = leaf if out is None else out.union(leaf)
-        large = sized.where(F.col("_k") > LIMIT).select("node", "_rep")
-        if depth == DEPTH or large.isEmpty():
+        large = sized.where(F.col("_k") > LIMIT).drop("_k")
+        if depth == deepest or large.isEmpty():
             break
-        deeper = large.join(reps.select("_rep", "_sig"), "_rep").select("node", "_rep", "_sig")
-        level = materialize(deeper.mapInArrow(split, "node long, _rep long"), "paths")
-    return out.select("node", "_rep")
+        deeper = large.join(reps.select("_rep", "_sig"), "_rep").select("node", "_first", "_rep", "_sig")
+        level = materialize(deeper.mapInArrow(split, schema), "paths")
+    return out.select("node", "_first", "_rep")
 
 
-def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) that join sets whose signatures agree well enough: per block a spanning forest, not all pairs.
+def joins(met: DataFrame, bar: float) -> DataFrame:
+    """Edges (a, b) between labels whose sets' signatures agree well enough, found in blocks of (node, _i, _j, _c, label, _sig).
 
-    The bar lies four standard errors of a signature under the threshold.
+    Pairs that links found before connect already are not looked at, so a task returns no more
+    edges than labels it joins, however many pairs there are.
     """
-    bar = threshold - 4 * sqrt(threshold * (1 - threshold) / POSITIONS)
-    met = B.block_pairs(buckets(reps, threshold, recall), ["node"], "_rep").join(reps.select("_rep", "_sig"), "_rep")
-    met = B.together(met.select("node", "_i", "_j", "_c", "_rep", "_sig"), ["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in B.runs(batches, ["node", "_i", "_j"]):
-            i, j, c, rep = (t[k].to_numpy() for k in ("_i", "_j", "_c", "_rep"))
+            i, j, c, label = (t[k].to_numpy() for k in ("_i", "_j", "_c", "label"))
             sig = _sig(t["_sig"])
-            edges = [(np.empty(0, np.int64),) * 2]
+            labels, own = np.unique(label, return_inverse=True)
+            root = np.arange(len(labels))
             for a, b in B.pairs(group, i, j, c):
+                apart = root[own[a]] != root[own[b]]
+                a, b = a[apart], b[apart]
                 near = (sig[a] == sig[b]).mean(1) >= bar
-                edges.append((a[near], b[near]))
-            top = B.roots(len(group), *(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
-            k = np.flatnonzero(top != np.arange(len(group)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(rep[top[k]])], ["a", "b"])
+                if near.any():
+                    root = B.roots(len(labels), root[own[a[near]]], root[own[b[near]]])[root]
+            k = np.flatnonzero(root != np.arange(len(labels)))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[k]), pa.array(labels[root[k]])], ["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long")
+    blocks = B.together(met.select("node", "_i", "_j", "_c", "label", "_sig"), ["node"])
+    return blocks.mapInArrow(compare, "a long, b long")
 
 
-def overlaps(hashes: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of a block's sets, by products of slices of its incidence matrix."""
+def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(id, component): groups of sets that signatures connect, over all buckets of all runs.
+
+    The bar lies four standard errors of a signature under the threshold. Chunks of the first runs'
+    buckets come first, each compared within itself; their groups are then labels with which all
+    buckets are compared whole, all chunks with each other, so that only what joins two groups is
+    written: rows grow with the number of sets, not with its square.
+    """
+    bar = threshold - 4 * sqrt(threshold * (1 - threshold) / POSITIONS)
+    dealt = materialize(B.chunked(buckets(reps, threshold, recall), ["node"], "_rep", CHUNK), "buckets")
+    first = dealt.where("_first").join(reps.select("_rep", "_sig"), "_rep")
+    first = first.withColumns({"_i": F.col("_c"), "_j": F.col("_c"), "label": F.col("_rep")})
+    early = materialize(joins(first, bar).distinct(), "joins")
+    near = components(early)
+    labelled = reps.select("_rep", "_sig").join(near, F.col("_rep") == F.col("id"), "left")
+    labelled = materialize(labelled.select("_rep", F.coalesce("component", "_rep").alias("label"), "_sig"), "labels")
+    late = joins(B.paired(dealt.drop("_first")).join(labelled, "_rep"), bar)
+    return components(early.union(late))
+
+
+def overlaps(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets `left` with the sets `right`, by products of slices of the incidence matrix."""
     n = len(hashes)
     owner = np.repeat(np.arange(n), [len(h) for h in hashes])
     _, token, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
@@ -163,13 +196,13 @@ def overlaps(hashes: list[np.ndarray]) -> np.ndarray:
     owner, token = owner[shared], np.cumsum(count > 1)[token[shared]] - 1
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    out, wide = np.zeros((n, n), np.float32), max(256, (1 << 21) // n)
+    out, wide = np.zeros((len(left), len(right)), np.float32), max(256, (1 << 21) // n)
     for lo in range(0, int(token[-1]) + 1 if len(token) else 0, wide):
         a, b = np.searchsorted(token, [lo, lo + wide])
         m = np.zeros((n, wide), np.float32)
         m[owner[a:b], token[a:b] - lo] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+        out += m[left] @ m[right].T
+    return out.astype(float)
 
 
 def verify(members: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -187,8 +220,8 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float, width: int) ->
     full = members.join(docs, members["_rep"] == docs["_id"]).select("_g", "_rep", "_copies", "_text")
     full = full.dropDuplicates(["_rep"])
     full = materialize(full.mapInArrow(spell, "_g long, _rep long, _copies long, _set binary"), "sets")
-    met = B.block_pairs(full, ["_g"], "_rep").select("_g", "_i", "_j", "_c", "_rep", "_copies", "_set")
-    met = B.together(met, ["_g"])
+    met = B.paired(B.chunked(full.withColumn("_bytes", F.length("_set")), ["_g"], "_rep", CHUNK, weight="_bytes"))
+    met = B.together(met.select("_g", "_i", "_j", "_c", "_rep", "_copies", "_set"), ["_g"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in B.runs(batches, ["_g", "_i", "_j"]):
@@ -197,14 +230,19 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float, width: int) ->
             cut = np.searchsorted(group, np.arange(int(group[-1]) + 2))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 own = [np.frombuffer(raw[k].as_py(), np.uint64) for k in range(lo, hi)]
-                both = overlaps(own)
                 size = np.array([len(h) for h in own])
-                link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-                np.fill_diagonal(link, False)
+                one = np.arange(hi - lo) if i[lo] == j[lo] else np.flatnonzero(c[lo:hi] == i[lo])
+                two = one if i[lo] == j[lo] else np.flatnonzero(c[lo:hi] == j[lo])
+                both = overlaps(own, one, two)
+                link = both >= threshold * (size[one][:, None] + size[two] - both) - 1e-9
+                if i[lo] == j[lo]:
+                    np.fill_diagonal(link, False)
+                a, b = np.nonzero(link)
+                top = B.roots(hi - lo, one[a], two[b])
+                n = np.zeros(hi - lo, np.int64)
+                n[one] += link @ copies[lo:hi][two]
                 if i[lo] != j[lo]:
-                    link &= c[lo:hi, None] != c[None, lo:hi]
-                top = B.roots(hi - lo, *np.nonzero(link))
-                n = link @ copies[lo:hi]
+                    n[two] += link.T @ copies[lo:hi][one]
                 k = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[lo + k]), pa.array(n[k]), pa.array(rep[lo + top[k]])], ["_rep", "links", "peer"])
 
@@ -237,7 +275,7 @@ def similarity_classes(
     one = materialize(sig.where("_n > 0").groupBy("_id").agg(least).select("_id", "s.*"), "sets-by-id")
     reps = one.groupBy("_a", "_b").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_sig").alias("_sig"))
     reps = materialize(reps, "sets")
-    near = components(candidates(reps, threshold, recall))
+    near = candidates(reps, threshold, recall)
     members = near.join(reps.select("_rep", "_copies"), F.col("id") == F.col("_rep")).select(F.col("component").alias("_g"), "_rep", "_copies")
     found = verify(members, d, threshold, width)
     links = found.groupBy("_rep").agg(F.sum("links").alias("links"))
