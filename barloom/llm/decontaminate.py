@@ -103,6 +103,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
     block: int = 2000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, item_id, score, coverage, matched, start_word, end_word): best alignment of each text and item.
 
@@ -116,14 +117,16 @@ def contaminated(
     copies with several words put in at more than one place.
     Items shorter than three words, null or empty, and null texts match nothing; null ids of texts
     are reported with a null id. Repeated texts are reported each, repeated items too. Long texts are
-    searched whole. An empty table on either side gives an empty result. Other columns are not read.
+    searched whole. An empty table on either side gives an empty result. Columns of the texts named in `keep`
+    come along (they must not be named as those above); others are not read.
 
     The benchmark is a stated query set: it goes out in blocks of about `block` items, each block
     against all texts, so what a task holds is bounded by a parameter and not by the benchmark.
     Texts are not shuffled; seeds, alignment and the choice of the best happen where a text is read.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)
+    schema = ", ".join([SCHEMA, *(f"{c} {d.schema[c].dataType.simpleString()}" for c in keep)])
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     blocks = max(1, -(-size.n // block), -(-size.c // (1 << 22)))
@@ -135,16 +138,16 @@ def contaminated(
         if not len(keys):
             continue
         index = A.Index(words, 3, keys, owner, place)
-        found.append(d.mapInArrow(_search(index, ids, threshold, least), SCHEMA))
+        found.append(d.mapInArrow(_search(index, ids, threshold, least, keep), schema))
     if not found:
-        return spark.createDataFrame([], SCHEMA).withColumnRenamed("_id", id_col)
+        return spark.createDataFrame([], schema).withColumnRenamed("_id", id_col)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return out.withColumnRenamed("_id", id_col)
 
 
-def _search(index: A.Index, ids: np.ndarray, threshold: float, least: int):
+def _search(index: A.Index, ids: np.ndarray, threshold: float, least: int, keep: tuple[str, ...] = ()):
     size = np.array([len(w) for w in index.words], np.int64)
     need = np.maximum(np.ceil(threshold * size - 1e-9), np.minimum(least, size))
     bags = Bags(index.words)
@@ -171,18 +174,19 @@ def _search(index: A.Index, ids: np.ndarray, threshold: float, least: int):
                 new = np.ones(len(k), bool)
                 new[1:] = (row[k][1:] != row[k][:-1]) | (owner[k][1:] != owner[k][:-1])
                 k = k[new]
-                first = w.row_start[row[k]]
+                first, at = w.row_start[row[k]], pa.array(row[k] + s.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).take(pa.array(row[k] + s.first)),
+                        b.column(0).take(at),
                         pa.array(ids[owner[k]], pa.int64(), from_pandas=True),
                         pa.array(got.score[k].astype(np.int32)),
                         pa.array(got.matches[k] / full[k]),
                         pa.array(got.matches[k].astype(np.int32)),
                         pa.array((got.b_start[k] - first).astype(np.int32)),
                         pa.array((got.b_end[k] - first).astype(np.int32)),
+                        *(b.column(2 + c).take(at) for c in range(len(keep))),
                     ],
-                    ["_id", "item_id", "score", "coverage", "matched", "start_word", "end_word"],
+                    ["_id", "item_id", "score", "coverage", "matched", "start_word", "end_word", *keep],
                 )
 
     return search

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ TOPICS = (
 OTHER = "prose"
 DIMS = ("source", "lang", "topic")
 UNKNOWN = "(null)"
-DRIVER_CELLS = 100_000  # a cell is three short strings and two numbers
+SETTLED = 1e-10  # marginals that miss their targets by no more than this are met
 
 
 def topic(text: Column) -> Column:
@@ -48,42 +49,38 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return per.crossJoin(per.agg(F.sum("v").alias("all"))).select(dim, (F.col("v") / F.col("all")).alias("share"))
 
 
+def goal(target: DataFrame, dim: str) -> DataFrame:
+    """(value, share) of a caller's targets: shares of a repeated value add up, a null share is no target, a null value is the group of nulls."""
+    value = F.coalesce(F.col(dim).cast("string"), F.lit(UNKNOWN)).alias(dim)
+    return target.where("share is not null").groupBy(value).agg(F.sum(F.col("share").cast("double")).alias("share"))
+
+
+def marginal_errors(w: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dim, error): the largest difference of a value's weight from its target share; values without a target do not count."""
+    parts = [
+        w.groupBy(dim).agg(F.sum("w").alias("_have")).join(t, dim).agg(F.lit(dim).alias("dim"), F.max(F.abs(F.col("_have") - F.col("share"))).alias("error"))
+        for dim, t in targets.items()
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
     """Iterative proportional fitting: (dims, n, w) with w starting at n and scaled to each marginal in turn.
 
-    A value without a target keeps its weight. Up to DRIVER_CELLS cells, whose number is checked,
-    the sweeps run as array sums on the driver; beyond it they are joins, with the same results.
+    Sweeps end when all marginals are met (see `marginal_errors`), or after `sweeps` of them. Each
+    step aggregates weights by one dimension and joins the factors back, for any number of cells; a
+    sweep is a table of its own. A value without a target, or without weight, keeps its weight.
     """
-    count = cells.limit(DRIVER_CELLS + 1).count()
-    if 0 < count <= DRIVER_CELLS:
-        return rake_arrays(cells, targets, sweeps)
-    return rake_joined(cells, targets, sweeps)
-
-
-def rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
-    c = cells.orderBy(*DIMS).toPandas()
-    w, steps = c["n"].to_numpy(dtype=np.float64), []
-    for dim, target in targets.items():
-        values, code = np.unique(c[dim].to_numpy(dtype=object), return_inverse=True)
-        share = target.toPandas().groupby(dim)["share"].sum().reindex(values).to_numpy(dtype=np.float64)
-        steps.append((code, share))
-    for _ in range(sweeps):
-        for code, share in steps:
-            factor = share / np.bincount(code, w, len(share))
-            w = w * np.where(np.isnan(factor), 1.0, factor)[code]
-    c["w"] = w
-    return cells.sparkSession.createDataFrame(c[[*DIMS, "n", "w"]], "source string, lang string, topic string, n long, w double")
-
-
-def rake_joined(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
-    """Each step aggregates weights by one dimension and joins the factors back; a sweep is a table of its own."""
     w = cells.withColumn("w", F.col("n").cast("double"))
     for _ in range(sweeps):
         for dim, target in targets.items():
             have = w.groupBy(dim).agg(F.sum("w").alias("_have"))
-            factor = have.join(target, dim, "left").select(dim, F.coalesce(F.col("share") / F.col("_have"), F.lit(1.0)).alias("_f"))
+            factor = have.join(target, dim, "left").select(dim, F.coalesce(F.try_divide("share", "_have"), F.lit(1.0)).alias("_f"))
             w = w.join(factor, dim).withColumn("w", F.col("w") * F.col("_f")).drop("_f")
         w = materialize(w, "rake")
+        worst = marginal_errors(w, targets).agg(F.max("error")).first()[0]  # one number
+        if worst is None or worst <= SETTLED:
+            break
     return w
 
 
@@ -109,15 +106,16 @@ def mix(
     the probability of the rest (by a fixed hash of the id). Rows with no copy are not returned:
     that is the sampling. Rates above 1 mean repeats, so no mass is cut off.
 
-    Null dimensions form the group "(null)". Documents without words have no weight and are not
+    Shares of a repeated value add up, and a null share is no target. Null dimensions form the group
+    "(null)". Documents without words have no weight and are not
     drawn. Null ids share one draw. Repeated rows are documents of their own that are drawn alike.
     An empty table gives an empty result; other columns of the input are not read.
     """
-    d = described(docs, id_col, text_col)
+    d = materialize(described(docs, id_col, text_col), "described")
     powers = {"source": 0.5, "lang": 0.7, "topic": 0.5} if powers is None else powers
     cells = materialize(d.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")).where("n > 0"), "cells")
-    goals = {dim: (targets or {}).get(dim) for dim in DIMS}
-    goals = {dim: t if t is not None else tempered(cells, dim, powers[dim]) for dim, t in goals.items()}
+    given = {dim: goal(t, dim) for dim, t in (targets or {}).items()}
+    goals = {dim: materialize(given[dim] if dim in given else tempered(cells, dim, powers[dim]), "goals") for dim in DIMS}
     w = rake(cells, goals, sweeps)
     # Two one-row totals, so this cross join adds columns and no rows.
     total = w.agg(F.sum("w").alias("_w"), F.sum("n").alias("_n"))

@@ -123,10 +123,7 @@ def mix_docs(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as w", "2 as n", "3 as rate")
 
 
-@pytest.mark.parametrize("on_driver", [True, False])
-def test_mixture(spark, monkeypatch, on_driver):
-    if not on_driver:
-        monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+def test_mixture(spark):
     rows, df = mix_docs(spark)
     out = mixing.mix(df.repartition(3), sweeps=6, fraction=0.8).toPandas()
     assert (out["copies"] >= 1).all() and not {900, 901} & set(out["doc_id"].dropna())
@@ -161,6 +158,32 @@ def test_mixture_targets(spark):
     assert np.allclose((per / per.sum())[["a", "b", "c"]], [0.2, 0.4, 0.4], atol=0.05)
 
 
+def test_mixture_of_odd_targets(spark):
+    """A repeated value's shares add up, a null share is no target, a null value is the group of nulls."""
+    _, df = mix_docs(spark)
+    powers = {"source": 1, "lang": 1.0, "topic": 1.0}
+    odd = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.3), (None, 0.4), ("c", None)], "source string, share double")
+    plain = spark.createDataFrame([("a", 0.3), ("b", 0.3), (mixing.UNKNOWN, 0.4)], "source string, share double")
+    drawn = lambda t: mixing.mix(df, powers, sweeps=4, targets={"source": t}).withColumn("rate", F.round("rate", 9))
+    one, two = (sorted(map(tuple, drawn(t).collect()), key=str) for t in (odd, plain))
+    assert one == two and {r[2] for r in one} >= {"a", "b", "c"}
+
+
+def test_raking_stops_when_the_marginals_are_met(spark):
+    _, df = mix_docs(spark)
+    d = mixing.described(df)
+    cells = d.groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    goals = {dim: mixing.tempered(cells, dim, 0.5) for dim in mixing.DIMS}
+    w = mixing.rake(cells, goals, 200)
+    assert max(r.error for r in mixing.marginal_errors(w, goals).collect()) <= mixing.SETTLED
+
+
+def test_mixture_of_long_texts(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "en", "a"), (2, "one two", "en", "b"), (2, "one two", "en", "b")], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df, fraction=3.0).collect()
+    assert {r.n_tokens for r in out} == {300_000, 2} and len(out) == 3
+
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -201,3 +224,22 @@ def test_pipeline_odd_rows(spark, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() is not None
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_copies(spark):
+    """Repeated rows and copies without an id are copies; a leak goes whatever its id."""
+    t = " ".join(f"w{k}" for k in range(40))
+    lone = " ".join(f"v{k}" for k in range(40))
+    rows = [(5, t), (5, t), (9, t + " x"), (None, t), (None, lone), (None, lone), (1, "else"), (2, None), (2, None), (3, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], DOCS)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in P.one_of_each(spark, docs, "").collect()))
+    assert got == sorted([(5, t), (0, lone), (1, "else"), (2, ""), (2, ""), (3, "")])
+
+
+def test_pipeline_drops_leaks_without_id(spark, tmp_path):
+    item = " ".join(f"w{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} after"), (4, f"before {item} after"), (4, "clean"), (None, "clean too"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], DOCS)
+    got = sorted((r.doc_id or 0, r.text or "") for r in P.no_leaks(spark, docs, str(tmp_path)).collect())
+    assert got == [(0, ""), (0, "clean too"), (4, "clean"), (7, "")]
