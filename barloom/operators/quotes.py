@@ -16,6 +16,7 @@ from barloom.functions.numeric import _c, div, finite, ln, sanitize, sqrt
 from barloom.operators.bars import last_bars
 from barloom.operators.features import f_market_impact, f_sigma, f_variance
 from barloom.operators.frames import BLOCK_ROWS, Frame
+from barloom.session import materialize
 
 ROOT2 = math.sqrt(2)
 SESSION_MINUTES = 420.0
@@ -271,45 +272,131 @@ def fill_time(fills: DataFrame) -> DataFrame:
     return fills.withColumn("duration", F.coalesce(took, F.lit(UNFILLED)))
 
 
-COARSE = tuple(s * 10 ** (-1 + j / 10) for s in (-1, 1) for j in range(41))  # rates from 0.1 to 1,000 of either sign
-FINER = tuple(tuple(10 ** (j * step) for j in range(-10, 11)) for step in (0.01, 0.001))
+RATES = (0.0, *(sign * 10 ** (j / 2) for j in range(-6, 7) for sign in (1, -1)))  # first rates tried, per span of distances
+WIDEN = 100.0  # factor by which the outermost rates grow while they are best
+WIDEST = 1e12
+SERIES = 0.01  # rates below this use the first terms of the series, where the closed forms cancel
+STEPS = 100
+NEAR = 1e-12  # step, by the rate's size, at which a rate counts as found
 
 
 def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
     """duration = A exp(-kappa x), or with `offset` A exp(-kappa x) + c: least squares over all orders of a symbol.
 
-    For a given rate the rest is linear, so each rate of a grid has its A, c and error from sums
-    over the orders; the best rate is then refined twice. Orders enter as count, sum and sum of
-    squares per distance, so every order weighs the same, durations of 0 too. Symbols for which no
-    rate determines A (and c) have no row.
+    For a given rate the rest is linear, so only the rate is searched, in units of one over the span
+    of a symbol's distances. Rates of either sign and 0 are compared, further ones as long as the
+    outermost is best; between the neighbours of the best one, Newton steps look for the rate where
+    the error's slope is 0, and halve the bracket where a step would leave it. Every step is one
+    aggregation over the distances, in which orders enter as count, sum and sum of squares.
+
+    Symbols need two distances (three with `offset`); those with one have rate 0 and no row with
+    `offset`, and those whose error falls for ever as the rate grows have no row. With `offset`, a
+    straight line is rate 0 with null `a` and `c`. What is left of the error after rounding is 0.
     """
     d = F.col("duration")
     points = durations.groupBy("symbol", F.col("offset").alias("x")).agg(
         F.count(d).cast("double").alias("n"), F.sum(d).alias("d"), F.sum(d * d).alias("dd")
     )
-    points = points.filter("n > 0 and x is not null")
-    best = points.select("symbol").distinct().withColumn("kappa", F.explode(F.array(*[F.lit(k) for k in COARSE])))
-    best = _least(points, best, offset)
-    for factors in FINER:
-        near = F.array(*[F.col("kappa") * k for k in factors])
-        best = _least(points, best.select("symbol", F.explode(near).alias("kappa")), offset)
-    return best
-
-
-def _least(points: DataFrame, rates: DataFrame, offset: bool) -> DataFrame:
-    """Of each symbol's rates the one with the least squared error (the least rate of equals), with A and c."""
-    e = F.exp(-F.col("kappa") * F.col("x"))
-    s = points.join(rates, "symbol").groupBy("symbol", "kappa").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * e).alias("e"), F.sum(F.col("n") * e * e).alias("ee"),
-        F.sum("d").alias("d"), F.sum(F.col("d") * e).alias("ed"), F.sum("dd").alias("dd"), F.count("x").alias("k"),
-    )
+    points = materialize(points.filter("n > 0 and x is not null"), "distances")
+    span = points.groupBy("symbol").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("x").alias("k"))
+    span = materialize(span.filter("k > 2") if offset else span, "spans")
+
+    def sums(state: DataFrame) -> DataFrame:
+        """Sums over the distances for each (symbol, rate) of the state, and from them fit and slope of the error."""
+        return _slopes(_decay_sums(points.join(state, "symbol"), offset, [c for c in state.columns if c != "symbol"]), offset)
+
+    spread = lambda rates: span.filter("x1 > x0").withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
+    tried = [float(r) for r in RATES]
+    grid = materialize(sums(spread(tried)), "rates")
+    while True:
+        top = max(map(abs, tried))
+        best = grid.groupBy("symbol").agg(
+            F.max_by("rate", F.struct("explained", -F.abs("rate"), "rate")).alias("rate"), F.max("explained").alias("most"), F.max("dd").alias("all"),
+            F.max(F.when(F.abs("rate") >= top, F.col("explained"))).alias("far"), F.max("d").alias("d"),
+        )
+        rising = (F.col("far") >= F.col("most") - NEAR * F.col("all")) & (F.col("d") != 0)
+        if top >= WIDEST or best.filter(rising).isEmpty():
+            break
+        wider = [s * top * WIDEN ** (k / 4) for k in (1, 2, 3, 4) for s in (1.0, -1.0)]
+        tried += wider
+        grid = grid.union(materialize(sums(spread(wider)), "rates"))
+    order = sorted(tried)
+    low = F.create_map(*[F.lit(float(x)) for pair in zip(order, [order[0], *order[:-1]], strict=True) for x in pair])
+    high = F.create_map(*[F.lit(float(x)) for pair in zip(order, [*order[1:], order[-1]], strict=True) for x in pair])
+    best = best.filter(~rising).select("symbol", F.when(F.col("d") == 0, 0.0).otherwise(F.col("rate")).alias("rate"))
+    best = best.withColumns({"lo": low[F.col("rate")], "hi": high[F.col("rate")]})
+    state = materialize(span.join(best, "symbol").withColumn("moved", F.lit(1.0)), "bracket")
+    for _ in range(STEPS):
+        at = sums(state)
+        lo, hi = F.when(F.col("slope") > 0, F.col("rate")).otherwise(F.col("lo")), F.when(F.col("slope") > 0, F.col("hi")).otherwise(F.col("rate"))
+        newton = F.col("rate") - F.try_divide("slope", "curve")
+        at = at.withColumns({"lo": lo, "hi": hi, "_to": newton})
+        inside = (F.col("_to") > F.col("lo")) & (F.col("_to") < F.col("hi")) & (F.col("curve") < 0)
+        to = F.when(F.col("slope") == 0, F.col("rate")).when(inside, F.col("_to")).otherwise((F.col("lo") + F.col("hi")) / 2)
+        moved = F.abs(to - F.col("rate")) / F.greatest(F.abs(to), F.lit(SERIES))
+        state = at.select("symbol", "x0", "x1", "k", "lo", "hi", to.alias("rate"), moved.alias("moved"))
+        state = materialize(state, "bracket")
+        if state.filter(F.col("moved") > NEAR).isEmpty():
+            break
+    flat = span.filter("x1 = x0").select("symbol", "x0", "x1", "k", F.lit(0.0).alias("rate"))
+    done = sums(state.select("symbol", "x0", "x1", "k", "rate").unionByName(flat))
+    wide = F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0")).otherwise(1.0)
+    error = F.col("dd") - F.col("explained")
+    done = done.withColumns({"kappa": F.col("rate") / wide, "sse": F.when(error > NEAR * F.col("dd"), error).otherwise(0.0)})
+    far = F.exp(F.col("kappa") * _near_end())
+    if not offset:
+        return done.select("symbol", "kappa", (F.col("level") * far).alias("a"), "sse")
+    a = F.try_divide(-F.col("level"), "rate") * far
+    return done.select("symbol", "kappa", a.alias("a"), (F.col("base") + F.try_divide("level", "rate")).alias("c"), "sse")
+
+
+def _near_end() -> Column:
+    """The distance from which exp(-rate u) falls: the least for a rate from 0 on, else the greatest."""
+    return F.when(F.col("rate") >= 0, F.col("x0")).otherwise(F.col("x1"))
+
+
+def _decay_sums(points: DataFrame, offset: bool, keep: list[str]) -> DataFrame:
+    """Sums per symbol and rate of the curve, its first two derivatives by the rate, and their products.
+
+    u is the distance from the near end by the span, so exp(-rate u) is 1 at most. Without offset the
+    curve is e = exp(-rate u). With it, f = (1 - e) / rate spans the same fits and is u at rate 0.
+    """
+    r, wide = F.col("rate"), F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0")).otherwise(1.0)
+    p = points.withColumn("u", (F.col("x") - _near_end()) / wide).withColumn("e", F.exp(-r * F.col("u")))
+    u, e = F.col("u"), F.col("e")
     if offset:
-        slope = F.try_divide(F.expr("n * ed - e * d"), F.expr("n * ee - e * e"))
-        s = s.filter("k > 1").withColumn("a", slope).withColumn("c", F.expr("(d - a * e) / n"))
+        small = F.abs(r) < SERIES
+        first = [F.pow(u, F.lit(float(j + 1))) * (-1.0) ** j / math.factorial(j + 1) for j in range(7)]  # of f, by powers of the rate
+        series = lambda k: sum((first[j] * float(math.perm(j, k)) * F.pow(r, F.lit(float(j - k))) for j in range(k, 7)), F.lit(0.0))
+        p = p.withColumn("f", F.when(small, series(0)).otherwise(-F.expm1(-r * u) / r))
+        p = p.withColumn("g", F.when(small, series(1)).otherwise((u * e - F.col("f")) / r))
+        p = p.withColumn("h", F.when(small, series(2)).otherwise((-u * u * e - 2 * F.col("g")) / r))
     else:
-        s = s.withColumn("a", F.try_divide("ed", "ee")).withColumn("c", F.lit(0.0))
-    s = s.withColumn("sse", F.expr("dd - a * ed - c * d")).filter("sse is not null")
-    # Errors equal to ten digits count as equal, so that rounding noise does not choose the rate.
-    order = F.struct(F.format_string("%.9e", "sse").cast("double"), F.col("kappa"))
-    pick = s.groupBy("symbol").agg(F.min_by(F.struct("kappa", "a", "c", "sse"), order).alias("b"))
-    return pick.select("symbol", "b.*") if offset else pick.select("symbol", "b.kappa", "b.a", "b.sse")
+        p = p.withColumns({"f": e, "g": -u * e, "h": u * u * e})
+    n, d, f, g, h = (F.col(c) for c in ("n", "d", "f", "g", "h"))
+    rest = [c for c in keep if c != "rate"]
+    return p.groupBy("symbol", "rate", *rest).agg(
+        F.sum(n).alias("n"), F.sum(d).alias("d"), F.sum("dd").alias("dd"),
+        F.sum(n * f).alias("f"), F.sum(n * g).alias("g"), F.sum(n * h).alias("h"),
+        F.sum(d * f).alias("df"), F.sum(d * g).alias("dg"), F.sum(d * h).alias("dh"),
+        F.sum(n * f * f).alias("ff"), F.sum(n * f * g).alias("fg"), F.sum(n * (g * g + f * h)).alias("gg"),
+    )
+
+
+def _slopes(s: DataFrame, offset: bool) -> DataFrame:
+    """Level and base of the fit at each rate, what it explains of dd, and a factor of that one's slope with its derivative."""
+    centred = lambda xy, x, y: F.col(xy) - F.col(x) * F.col(y) / F.col("n") if offset else F.col(xy)
+    s = s.withColumns({
+        "E": centred("ff", "f", "f"), "E1": 2 * centred("fg", "f", "g"),
+        "E2": 2 * (F.col("gg") - (F.col("g") * F.col("g") + F.col("f") * F.col("h")) / F.col("n") if offset else F.col("gg")),
+        "P": centred("df", "f", "d"), "P1": centred("dg", "g", "d"), "P2": centred("dh", "h", "d"),
+    })
+    sign = F.signum("P")  # the slope of P^2 / E is a positive factor times sign * (2 P' E - P E')
+    mean = F.col("d") * F.col("d") / F.col("n") if offset else F.lit(0.0)
+    s = s.withColumns({
+        "level": F.coalesce(F.try_divide("P", "E"), F.lit(0.0)), "slope": sign * (2 * F.col("P1") * F.col("E") - F.col("P") * F.col("E1")),
+        "curve": sign * (2 * F.col("P2") * F.col("E") + F.col("P1") * F.col("E1") - F.col("P") * F.col("E2")),
+    })
+    return s.withColumns({
+        "base": (F.col("d") - F.col("level") * F.col("f")) / F.col("n"), "explained": mean + F.coalesce(F.try_divide(F.col("P") * F.col("P"), F.col("E")), F.lit(0.0)),
+    }).drop("E", "E1", "E2", "P", "P1", "P2")

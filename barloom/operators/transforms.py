@@ -19,6 +19,7 @@ from barloom.operators.orderstats import order_statistics, quantile_ranks
 from barloom.session import materialize
 
 KEYS = ("symbol", "feature")
+ROUNDING = 1e-12  # what is left of a value and its fit is rounding up to this share of the terms' size
 
 # Least-squares weights of a cubic through five equally spaced points.
 SAVGOL_MIDDLE = (-3, 12, 17, 12, -3)  # over 35, at the third point
@@ -139,7 +140,7 @@ def normalise(long: DataFrame, period: float, p: float = 0.10, rows: int = BLOCK
 
 
 def col_detrend(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """value minus its straight-line fit over the series, from block moments."""
+    """value minus its straight-line fit over the series, from block moments; what rounding leaves on the line is 0."""
     f = _frame(long, period, rows=rows)
     x, y = F.when(F.col("value").isNotNull(), F.col("_i").cast("double")), F.col("value")
     totals = {
@@ -160,8 +161,10 @@ def col_detrend(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataF
         return part.select(*f.keys, "_b", "_gx", "_gy", F.coalesce(slope, F.lit(0.0)).alias("_slope"))
 
     f = f.carry_with(totals, scan)
-    line = F.col("_gy") + F.col("_slope") * (F.col("_i") - F.col("_gx"))
-    return f.add(detrended=F.col("value") - line).drop("_gx", "_gy", "_slope").own()
+    f = f.add(_rise=F.col("_slope") * (F.col("_i") - F.col("_gx")))
+    left = F.col("value") - (F.col("_gy") + F.col("_rise"))
+    noise = F.abs(left) <= ROUNDING * F.greatest(F.abs("value"), F.abs("_gy") + F.abs("_rise"))
+    return f.add(detrended=F.when(noise, 0.0).otherwise(left)).drop("_gx", "_gy", "_slope", "_rise").own()
 
 
 def col_extrapolate(long: DataFrame, n: int = 10, ahead: int = 0) -> DataFrame:

@@ -1,16 +1,19 @@
-"""The whole batch job: trades or quotes to bars, features, normalised cells, model and orders."""
+"""The batch job's tables: bars to base columns, cells, normalised cells, predictions of the models, and orders."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
 from barloom.functions.numeric import div, finite, ln, sanitize, sqrt
+from barloom.operators import decisions as D
 from barloom.operators import features as A
 from barloom.operators import quotes as Q
+from barloom.operators import symbol_models as M
 from barloom.operators import transforms as T
 from barloom.operators.frames import Frame
 from barloom.operators.rsi import rsi_stage
@@ -22,16 +25,66 @@ KEEP = 9
 
 RSI_COLUMNS = ("open", "close", "volume", "D_vwap")
 
+# Names of the base columns, in the order of the batch form.
 BASE = (
-    "open high low close volume vwap D_vwap inventory gamma k bid_alpha ask_alpha spread3 spread2 "
-    "Volatility Volatility_mom Volatility2 Volatility3 Volatility3_mom Volatility4 Volatility_ratio "
-    "Volatility_ratio_reversed trade_able_spread last_return last_return_5mu last_return_5_sum "
-    "last_return_10mu last_return_10_sum std_normalized ma_ratio OBV OBV1 rsi_open rsi_close rsi_volume "
-    "rsi_D_vwap spread variance open_plus_var open_minus_var open_var_diff mu sigma volume_p1 market_impact "
-    "bid_spread_aysm ask_spread_aysm bid_spread_aysm2 ask_spread_aysm2 inventory_risk_roc "
-    "inventory_risk_roc_norm inventory_derivative sigma_derivative k_derivative a_derivative "
-    "indefinite_integral indefinite_integral2"
-).split()
+    "open",
+    "high",
+    "low",
+    "close",
+    "volume",
+    "vwap",
+    "D_vwap",
+    "inventory",
+    "gamma",
+    "k",
+    "bid_alpha",
+    "ask_alpha",
+    "spread3",
+    "spread2",
+    "Volatility",
+    "Volatility_mom",
+    "Volatility2",
+    "Volatility3",
+    "Volatility3_mom",
+    "Volatility4",
+    "Volatility_ratio",
+    "Volatility_ratio_reversed",
+    "trade_able_spread",
+    "last_return",
+    "last_return_5mu",
+    "last_return_5_sum",
+    "last_return_10mu",
+    "last_return_10_sum",
+    "std_normalized",
+    "ma_ratio",
+    "OBV",
+    "OBV1",
+    "rsi_open",
+    "rsi_close",
+    "rsi_volume",
+    "rsi_D_vwap",
+    "spread",
+    "variance",
+    "open_plus_var",
+    "open_minus_var",
+    "open_var_diff",
+    "mu",
+    "sigma",
+    "volume_p1",
+    "market_impact",
+    "bid_spread_aysm",
+    "ask_spread_aysm",
+    "bid_spread_aysm2",
+    "ask_spread_aysm2",
+    "inventory_risk_roc",
+    "inventory_risk_roc_norm",
+    "inventory_derivative",
+    "sigma_derivative",
+    "k_derivative",
+    "a_derivative",
+    "indefinite_integral",
+    "indefinite_integral2",
+)
 
 
 def base_features(bars: DataFrame, period: float, rows: int = ROWS) -> DataFrame:
@@ -105,6 +158,12 @@ def base_features(bars: DataFrame, period: float, rows: int = ROWS) -> DataFrame
     return out.select("symbol", "bar_ts", *[sanitize(c).alias(c) for c in BASE])
 
 
+def columns(base: Sequence[str] = BASE) -> list[str]:
+    """Names of all cells of the batch form, in the order of the base columns."""
+    ratios = [f"{c}{by}" for c in base for by in ("", "_div_volume", "_div_variance")]
+    return [f"{c}{v}" for c in ratios for v in ("", "_savgol", "_smooth_5", "_diff")]
+
+
 def expanded(base: DataFrame, period: float, columns: list[str] | None = None) -> DataFrame:
     """Base columns to all cells: ratios to volume and variance, then smoothing and changes."""
     long = T.to_long(base, columns or BASE, keep=("volume", "variance"))
@@ -114,3 +173,14 @@ def expanded(base: DataFrame, period: float, columns: list[str] | None = None) -
 def cells(base: DataFrame, period: float, columns: list[str] | None = None, p: float = 0.10) -> DataFrame:
     """Normalised cells, the model's input in long form."""
     return T.normalise(materialize(expanded(base, period, columns), "expanded"), period, p)
+
+
+def predictions(cells: DataFrame, bars: DataFrame, period: float, trees: int = 100, patience: int = 15, last: int = 2) -> DataFrame:
+    """Models of every symbol and side on the normalised cells, and what they say of the last bars."""
+    data = M.inputs(cells, bars, period, columns())
+    return M.predict(M.newest(cells, bars, last), M.tree_rows(data, M.train(data, trees, patience)))
+
+
+def orders(predicted: DataFrame, desk: DataFrame) -> DataFrame:
+    """Bracket orders of the newest predictions; `desk` has res, best_bid, best_ask and risk per symbol."""
+    return D.bracket(D.entries(M.orders_input(predicted, desk)))

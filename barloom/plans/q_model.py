@@ -1,116 +1,107 @@
-"""Model queries over hourly features.
+"""Models per symbol and side over all 684 columns of the batch form.
 
-SQL cannot fit trees. Where a query has a text, that says what does not depend on the fit: keys,
-counts per split, that a stored model predicts as the fitted one does. Values are tested in tests/.
+SQL cannot fit trees, so these queries have no text: tests/test_forest.py compares the fits with a
+plain one, and kept models with the fitted ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import sanitize
-from barloom.operators import features as A
 from barloom.operators import labels as L
-from barloom.operators import model as M
-from barloom.plans import sqltext as S
+from barloom.operators import forest as R
+from barloom.operators import symbol_models as M
+from barloom.plans import batch
 from barloom.plans.catalog import HOUR, present, query
-from barloom.plans.q_decisions import LABELLED
-from barloom.plans.q_features import hourly
+from barloom.plans.q_batch import base
 from barloom.session import materialize, new_path
-from barloom.sources.sinks import load_model, save_model
-
-FEATURES = ["spread3", "spread2", "Volatility", "Volatility3", "std_normalized", "ma_ratio", "variance", "sigma"]
-
-
-def table(spark, sf_dir):
-    """Cleaned features with both labels, written once because training reads it many times."""
-    b = hourly(spark, sf_dir)
-    for op in (A.f_volatility5, A.f_volatility25, A.f_std_normalized, A.f_ma_ratio, A.f_variance, A.f_sigma):
-        b = op(b, HOUR)
-    b = A.f_range_spread(b)
-    stored = materialize(b.withColumns({c: sanitize(c) for c in FEATURES}), "features")
-    return stored, L.labels(stored, HOUR)
-
-
-def trained(spark, sf_dir, label):
-    """Fitted on the training rows until the validation rows gain nothing any more."""
-    stored, labelled = table(spark, sf_dir)
-    parts = materialize(L.split_time(labelled, HOUR), "split").withColumn("_valid", F.col("split") == "valid")
-    used = parts.filter("split in ('train', 'valid')")
-    return stored, parts.drop("_valid"), M.train(used, FEATURES, label, iterations=25, valid="_valid")
-
-
-LAST_TWO = S.chain(*S.bars(HOUR), ("r", "select symbol, bar_ts, row_number() over (partition by symbol order by bar_ts desc) as r from bars"))
-
-
-@query(
-    "ml_train_classifier",
-    S.chain(
-        *LABELLED,
-        ("p0", f"select *, row_number() over {S.SEQ} - 1 as pos, count(*) over {S.ALL} as n from n3"),
-        ("p1", "select *, cast(round_even(n / 2.0, 0) as bigint) as half from p0"),
-        ("p2", "select *, half - ceil(half * cast(0.55 as double)) as train, greatest(n - half - 1, 0) as rest from p1"),
-        (
-            "p3",
-            """select *, case when pos < train then 'train' when pos < half then 'test' when pos = half then 'gap'
-               when pos <= half + (rest - ceil(rest * cast(0.35 as double))) then 'valid' else 'valid2' end as split from p2""",
-        ),
-    )
-    + "select split, count(*) as rows, count(*) filter (label_buy = 1) as ups, true as scored from p3 group by 1",
-)
+
+TREES, PATIENCE = 25, 5
+SELECT_TREES = 5  # a step of the selection; README.md has the time of more
+SEARCH = {"count": 4, "min_trees": 5, "max_trees": 10, "factor": 2}  # README.md has the time of the operator's own budgets
+KEEP = 30
+
+
+def chain(spark, sf_dir):
+    """Base table and normalised cells, both written."""
+    bars = base(spark, sf_dir)
+    return bars, materialize(batch.cells(bars, HOUR), "cells")
+
+
+def fitted(spark, sf_dir):
+    bars, cells = chain(spark, sf_dir)
+    data = M.inputs(cells, bars, HOUR, batch.columns())
+    return bars, cells, data, M.train(data, TREES, PATIENCE)
+
+
+def scored(data, models):
+    """Predictions of the fitted models with symbol, side and split."""
+    spark = data.table.sparkSession
+    sides = spark.createDataFrame([(i, m.spec.name) for i, m in enumerate(models)], "model int, side string")
+    out = R.score(data.table, len(data.names), models).join(F.broadcast(sides), "model")  # a row per model
+    return out.join(data.rows.select("symbol", "bar_ts", "split"), ["symbol", "bar_ts"], "left")
+
+
+@query("ml_train_classifier")
 def ml_train_classifier(spark, sf_dir):
-    """Rows per split that the fitted classifier scored; the metrics themselves are in `eval_metrics`."""
-    _, parts, model = trained(spark, sf_dir, "label_buy")
-    scored = M.predict(model, parts)
-    return scored.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label_buy") == 1).alias("ups"),
-        F.every(F.col("pred").isin(0, 1)).alias("scored"),
-    )
+    """Accuracy and macro F1 of every symbol's and side's model on each part of the time split."""
+    _, _, data, models = fitted(spark, sf_dir)
+    at = materialize(scored(data, models).where("label is not null").withColumnRenamed("label", "y"), "scored")
+    by = ("symbol", "side", "split")
+    counts = at.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("y") == 1).alias("ups"))
+    return present(counts.join(L.metrics(at, *by), list(by)))
 
 
 @query("ml_features_select")
 def ml_features_select(spark, sf_dir):
-    """Features left after dropping down to four, with their weight."""
-    _, labelled = table(spark, sf_dir)
-    rows = L.split_time(labelled, HOUR).filter("split = 'train'")
-    kept, model = M.select_features(materialize(rows, "train"), FEATURES, "label_buy", keep=4, steps=2, iterations=5)
-    weights = sorted(M.importances(model, kept).items())
-    schema = "feature string, importance double"
-    return present(spark.createDataFrame([(k, float(v)) for k, v in weights], schema))
+    """The features that are left of 684 per symbol and side, with their share of the gain."""
+    bars, cells = chain(spark, sf_dir)
+    data = M.inputs(cells, bars, HOUR, batch.columns())
+    kept, models = M.select_features(data, KEEP, trees=SELECT_TREES)
+    weights = [(m.spec.symbol, m.spec.name, n, M.importances(m, data.names).get(n, 0.0)) for m in models for n in kept[m.spec.symbol, m.spec.name]]
+    return present(spark.createDataFrame(weights, "symbol string, side string, feature string, importance double"))
 
 
 @query("ml_search")
 def ml_search(spark, sf_dir):
-    """Rounds of the halving search: iterations, candidates left and their best score."""
-    _, labelled = table(spark, sf_dir)
-    folds = materialize(L.forward_folds(labelled, HOUR, folds=2, gap=1), "folds")
-    r = M.search(folds, FEATURES, "label_buy", count=2, min_iterations=2, max_iterations=4, factor=2)
-    rows = [(i, n, float(s), r.best.depth, float(r.best.step), float(r.best.subsample)) for i, n, s in r.rounds]
-    schema = "iterations int, candidates int, best_score double, depth int, step double, subsample double"
-    return present(spark.createDataFrame(rows, schema))
-
-
-@query(
-    "ml_predict",
-    LAST_TWO + "select side, symbol, bar_ts, r = 1 as newest, true as predicted from r, (values ('BUY'), ('SELL')) s(side) where r <= 2",
-)
+    """Rounds of the halving search per symbol and side, on three forward folds of the selected features."""
+    bars, cells = chain(spark, sf_dir)
+    first = M.inputs(cells, bars, HOUR, batch.columns())
+    kept = {}
+    for m in M.train(first, SELECT_TREES, 0):
+        found = list(M.importances(m, first.names))
+        kept[m.spec.symbol, m.spec.name] = (found + [n for n in first.names if n not in found])[:KEEP]
+    names = sorted({n for own in kept.values() for n in own})
+    data = M.inputs(cells.where(F.col("feature").isin(names)), bars, HOUR, names, folds=3, gap=1)
+    return present(M.search(data, kept, **SEARCH))
+
+
+@query("ml_predict")
 def ml_predict(spark, sf_dir):
-    """Predictions of both sides' models for the last two bars per symbol."""
-    out = None
-    for side, label in (("BUY", "label_buy"), ("SELL", "label_sell")):
-        stored, _, model = trained(spark, sf_dir, label)
-        last = M.predict_last(model, stored).withColumn("predicted", F.col("pred").isin(0, 1))
-        last = last.select(F.lit(side).alias("side"), "symbol", "bar_ts", "newest", "predicted")
-        out = last if out is None else out.unionByName(last)
-    return present(out)
+    """Predictions of both sides' models for the last two bars per symbol, from their cells."""
+    bars, cells, data, models = fitted(spark, sf_dir)
+    return present(M.predict(M.newest(cells, bars, 2), M.tree_rows(data, models)))
 
 
-@query("sink_model", LAST_TWO + "select symbol, bar_ts, true as same from r where r <= 2")
+@query("sink_model")
 def sink_model(spark, sf_dir):
-    """Save and load the model of a side, and compare its predictions with the original's."""
-    stored, _, model = trained(spark, sf_dir, "label_buy")
+    """Models saved by symbol and side, loaded, and applied to all cells; `fitted_pred` is what the fitted ones say."""
+    bars, cells, data, models = fitted(spark, sf_dir)
     root = new_path(spark, "models")
-    save_model(model, root, "ALL", "BUY")
-    again = M.predict_last(load_model(root, "ALL", "BUY"), stored).withColumnRenamed("pred", "pred_loaded")
-    both = M.predict_last(model, stored).select("symbol", "bar_ts", "pred").join(again, ["symbol", "bar_ts"])
-    return present(both.select("symbol", "bar_ts", (F.col("pred") == F.col("pred_loaded")).alias("same")))
+    M.save(M.tree_rows(data, models), root)
+    again = M.predict(cells, M.load(spark, root))
+    both = again.join(scored(data, models).select("symbol", "side", "bar_ts", F.col("pred").alias("fitted_pred")), ["symbol", "side", "bar_ts"])
+    return present(both)
+
+
+@query("batch_predictions")
+def batch_predictions(spark, sf_dir):
+    """The batch job to its end: bracket orders of the newest predictions, with the newest bar's quotes."""
+    bars, cells = chain(spark, sf_dir)
+    predicted = batch.predictions(cells, bars, HOUR, TREES, PATIENCE)
+    newest = bars.groupBy("symbol").agg(F.max_by(F.struct("close", "bid_spread_aysm2", "ask_spread_aysm2", "gamma"), "bar_ts").alias("b"))
+    desk = newest.select(
+        "symbol", F.col("b.close").alias("res"), F.col("b.bid_spread_aysm2").alias("best_bid"), F.col("b.ask_spread_aysm2").alias("best_ask"),
+        F.col("b.gamma").alias("risk"),
+    )
+    return present(batch.orders(predicted, desk))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
@@ -455,39 +457,71 @@ POINTS = (
 
 
 def decay_sql(offset: bool) -> str:
-    """The grid of rates and its two refinements."""
+    """The best of the first rates, then halvings of its bracket by the sign of the error's slope.
+
+    Rates are in units of one over the span of a symbol's distances. With offset the curve is
+    (1 - exp(-r u)) / r in place of exp(-r u), which spans the same fits.
+    """
+    rates = ", ".join(repr(float(r)) for r in Q.RATES)
+    far = max(map(abs, Q.RATES))
+    at = """select p.symbol, s.rate, s.lo, s.hi, s.step, p.n, p.d, p.dd, x0, x1,
+                   (x - case when s.rate >= 0 then x0 else x1 end) / case when x1 > x0 then x1 - x0 else 1.0 end as u
+            from points p join {state} s using (symbol)"""
     if offset:
-        line = "(n * ed - e * d) / nullif(n * ee - e * e, 0) as a, (d - a * e) / n as c"
+        small = f"abs(rate) < {Q.SERIES!r}"
+        series = lambda k: " + ".join(f"pow(u, {j + 1}) * pow(rate, {j - k}) * {(-1.0) ** j * math.perm(j, k) / math.factorial(j + 1)!r}" for j in range(k, 7))
+        curve = f"""select *, case when {small} then {series(1)} else (u * exp(-rate * u) - f) / rate end as g
+                    from (select *, case when {small} then {series(0)} else (1 - exp(-rate * u)) / rate end as f from ({{at}}))"""
+        mid = lambda xy, x, y: f"({xy} - {x} * {y} / n)"
     else:
-        line = "ed / nullif(ee, 0) as a, 0.0 as c"
-    steps = []
-    for k in range(3):
-        rates = ", ".join(repr(r) for r in (Q.COARSE if k == 0 else Q.FINER[k - 1]))
-        source = "(select distinct symbol, 1.0::double as kappa from points)" if k == 0 else f"best{k - 1}"
-        steps += [
-            (f"rates{k}", f"select symbol, kappa * unnest([{rates}]::double[]) as kappa from {source}"),
-            (
-                f"sums{k}",
-                f"""select symbol, kappa, sum(n) as n, sum(n * exp(-kappa * x)) as e, sum(n * exp(-kappa * x) * exp(-kappa * x)) as ee,
-                    sum(d) as d, sum(d * exp(-kappa * x)) as ed, sum(dd) as dd, count(x) as k
-                    from points join rates{k} using (symbol) group by 1, 2 {"having count(x) > 1" if offset else ""}""",
-            ),
-            (f"fits{k}", f"select *, {line}, dd - a * ed - c * d as sse from sums{k}"),
-            (
-                f"best{k}",
-                f"""select symbol, kappa, a, c, sse from (select *, row_number() over (partition by symbol
-                    order by cast(printf('%.9e', sse) as double), kappa) as r from fits{k} where sse is not null) where r = 1""",
-            ),
-        ]
-    return S.chain(FILLS, DURATIONS, POINTS, *steps)
-
-
-@query("calib_decay_fit", decay_sql(False) + f"select symbol, {S.cols('kappa', 'a', 'sse')} from best2")
+        curve = "select *, exp(-rate * u) as f, -u * exp(-rate * u) as g from ({at})"
+        mid = lambda xy, x, y: xy
+    sums = """select symbol, rate, any_value(lo) as lo, any_value(hi) as hi, any_value(step) as step, any_value(x0) as x0, any_value(x1) as x1,
+                     sum(n) as n, sum(d) as d, sum(dd) as dd, sum(n * f) as f, sum(n * g) as g, sum(d * f) as df, sum(d * g) as dg,
+                     sum(n * f * f) as ff, sum(n * f * g) as fg from ({curve}) group by symbol, rate"""
+    fit = f"""select *, df / nullif(ff, 0) as level, {"d * d / n +" if offset else ""} coalesce(df * df / nullif(ff, 0), 0) as explained,
+                     sign(df) * (2 * dg * ff - df * 2 * fg) as slope, (d - coalesce(df / nullif(ff, 0), 0) * f0) / n as base
+              from (select symbol, rate, lo, hi, step, x0, x1, n, d, dd, f as f0, {mid("ff", "f", "f")} as ff, {mid("fg", "f", "g")} as fg,
+                           {mid("df", "f", "d")} as df, {mid("dg", "g", "d")} as dg from ({{sums}}))"""
+
+    def fits(state: str) -> str:
+        return fit.format(sums=sums.format(curve=curve.format(at=at.format(state=state))))
+
+    shown = """select symbol, rate / case when x1 > x0 then x1 - x0 else 1.0 end as kappa, level, rate, base,
+                      case when dd - explained > {near} * dd then dd - explained else 0.0 end as sse,
+                      exp(rate / case when x1 > x0 then x1 - x0 else 1.0 end * case when rate >= 0 then x0 else x1 end) as far from found"""
+    flat = "" if offset else " union all select symbol, 0.0, 0.0, 0.0, 0 from span where x1 = x0"
+    return S.chain(
+        FILLS, DURATIONS, POINTS,
+        ("span", f"select symbol, min(x) as x0, max(x) as x1 from points group by 1 {'having count(x) > 2' if offset else ''}"),
+        ("span_points", "select points.*, x0, x1 from points join span using (symbol)"),
+        ("tried", f"select symbol, unnest([{rates}]::double[]) as rate, 0.0 as lo, 0.0 as hi, 0 as step from span where x1 > x0"),
+        ("grid", fits("tried")),
+        ("ranked", f"""select *, row_number() over (partition by symbol order by explained desc, abs(rate), rate desc) as r, max(explained) over (partition by symbol) as most,
+                       max(case when abs(rate) >= {far!r} then explained end) over (partition by symbol) as far from grid"""),
+        ("ordered", "select symbol, rate, lag(rate, 1, rate) over w as lo, lead(rate, 1, rate) over w as hi from grid window w as (partition by symbol order by rate)"),
+        ("first", f"""select o.symbol, o.rate, o.lo, o.hi from ranked k join ordered o on o.symbol = k.symbol and o.rate = k.rate
+                      where k.r = 1 and not (k.far >= k.most - {Q.NEAR!r} * k.dd)"""),
+        ("halved", f"""select symbol, rate, lo, hi, 0 as step from first
+                       union all
+                       select symbol, (lo + hi) / 2, lo, hi, step + 1 from (
+                           select symbol, step, case when slope > 0 then rate else lo end as lo, case when slope > 0 then hi else rate end as hi
+                           from ({fits("halved")}) where step < 90)"""),
+        ("ended", f"select symbol, rate, lo, hi, step from halved where step = 90{flat}"),
+        ("found", fits("ended")),
+        ("fitted", shown.format(near=repr(Q.NEAR))),
+    ).replace("with ", "with recursive ", 1).replace("from points p join", "from span_points p join")
+
+
+@query("calib_decay_fit", decay_sql(False) + f"select symbol, {S.cols('kappa', 'a', 'sse')} from (select *, level * far as a from fitted)")
 def calib_decay_fit(spark, sf_dir):
     return present(Q.decay_fit(Q.fill_time(fixtures.fills(spark, sf_dir))))
 
 
-@query("calib_decay_fit_offset", decay_sql(True) + f"select symbol, {S.cols('kappa', 'a', 'c', 'sse')} from best2")
+@query(
+    "calib_decay_fit_offset",
+    decay_sql(True) + f"select symbol, {S.cols('kappa', 'a', 'c', 'sse')} from (select *, -level / rate * far as a, base + level / rate as c from fitted)",
+)
 def calib_decay_fit_offset(spark, sf_dir):
     return present(Q.decay_fit(Q.fill_time(fixtures.fills(spark, sf_dir)), offset=True))
 

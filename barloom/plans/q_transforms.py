@@ -114,20 +114,13 @@ def _fit(weights, over, start, step):
     return "(" + " + ".join(f"{w} * {at(start + step * j)}" for j, w in enumerate(weights)) + f") / {over}.0"
 
 
-@query(
-    "col_savgol",
-    text(
-        "savgol",
-        ("t1", f"row_number() over {S.SEQ} as i, count(*) over {S.ALL} as n"),
-        (
-            "t2",
-            f"""case when n < 5 then null
-                 when i = 1 then {_fit(T.SAVGOL_FIRST, 70, 0, 1)} when i = 2 then {_fit(T.SAVGOL_SECOND, 35, -1, 1)}
-                 when i = n then {_fit(T.SAVGOL_FIRST, 70, 0, -1)} when i = n - 1 then {_fit(T.SAVGOL_SECOND, 35, 1, -1)}
-                 else {_fit(T.SAVGOL_MIDDLE, 35, -2, 1)} end as savgol""",
-        ),
-    ),
-)
+SAVGOL = f"""case when n < 5 then null
+    when i = 1 then {_fit(T.SAVGOL_FIRST, 70, 0, 1)} when i = 2 then {_fit(T.SAVGOL_SECOND, 35, -1, 1)}
+    when i = n then {_fit(T.SAVGOL_FIRST, 70, 0, -1)} when i = n - 1 then {_fit(T.SAVGOL_SECOND, 35, 1, -1)}
+    else {_fit(T.SAVGOL_MIDDLE, 35, -2, 1)} end as savgol"""
+
+
+@query("col_savgol", text("savgol", ("t1", f"row_number() over {S.SEQ} as i, count(*) over {S.ALL} as n"), ("t2", SAVGOL)))
 def col_savgol(spark, sf_dir):
     return show(T.col_savgol(cells(spark, sf_dir), HOUR), "savgol")
 
@@ -163,20 +156,16 @@ def col_extrapolate(spark, sf_dir):
     return present(T.col_extrapolate(long), "symbol", "feature", "next_value")
 
 
-@query(
-    "zscore_expanding",
-    text(
-        "zscore",
-        ("t1", f"{S.ln('value')} as x"),
-        (
-            "t2",
-            f"""(x - avg(x) over {S.CUM}) / nullif(case when min(x) over {S.CUM} = max(x) over {S.CUM} then 0.0
-                else stddev_samp(x) over {S.CUM} end, 0) as z""",
-        ),
-        ("t3", S.pad("z", "p")),
-        ("t4", f"{S.pct('p')} as zscore"),
-    ),
+SCORES = (
+    f"{S.ln('value')} as x",
+    f"""(x - avg(x) over {S.CUM}) / nullif(case when min(x) over {S.CUM} = max(x) over {S.CUM} then 0.0
+        else stddev_samp(x) over {S.CUM} end, 0) as z""",
+    S.pad("z", "p"),
+    f"{S.pct('p')} as zscore",
 )
+
+
+@query("zscore_expanding", text("zscore", *zip(("t1", "t2", "t3", "t4"), SCORES, strict=True)))
 def zscore_expanding(spark, sf_dir):
     return show(T.zscore_expanding(cells(spark, sf_dir), HOUR), "zscore")
 
