@@ -174,7 +174,7 @@ def manifest(
     tops = subroots.select(F.lit(0).alias("_tree"), F.col("_tree").alias("_at"), "_digest", F.lit(n).cast("long").alias("_size"))
     tops = materialize(tops, "subroots")
     top, root = tree(tops, arity)
-    top = top.select(F.col("_at").alias("_t"), F.col("_digest").alias("_subroot"), F.col("_path").alias("_over"))
+    top = materialize(top.select(F.col("_at").alias("_t"), F.col("_digest").alias("_subroot"), F.col("_path").alias("_over")), "group-proofs")
     out = own.join(top, F.col("_tree") == F.col("_t")).crossJoin(F.broadcast(root.select(F.col("_digest").alias("_root"))))  # one row
     ends = fold(fold(hexed(F.coalesce("_forged", "_digest")), F.col("_at"), F.col("_path"), arity), F.col("_tree"), F.col("_over"), arity)
     return out.select(
