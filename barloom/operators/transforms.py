@@ -232,7 +232,7 @@ def _earlier_moments(part: DataFrame, f: Frame) -> DataFrame:
     )
 
 
-def _limits(counts: DataFrame, p: float) -> DataFrame:
+def limit_ranks(counts: DataFrame, p: float) -> DataFrame:
     """Ranks of the lowest and highest value that stay when a share p is clamped at either end."""
     cut = F.floor(F.lit(float(p)) * F.col("n"))
     marks = F.array(
@@ -252,7 +252,7 @@ def winsorize_global(long: DataFrame, p: float = 0.10) -> DataFrame:
     """Clamp the lowest and highest share p of all cells together (0.05 in the live form)."""
     keyed = long.withColumn("_g", F.lit(0))
     counts = keyed.groupBy("_g").agg(F.count("value").alias("n"))
-    limits = order_statistics(keyed, ["_g"], "value", _limits(counts, p), few=True)
+    limits = order_statistics(keyed, ["_g"], "value", limit_ranks(counts, p), few=True)
     pair = limits.groupBy("_g").pivot("name", ["low", "high"]).agg(F.first("value"))
     return keyed.join(F.broadcast(pair), "_g").withColumn("winsorized", _clamp("low", "high")).drop("_g", "low", "high")
 
@@ -260,7 +260,7 @@ def winsorize_global(long: DataFrame, p: float = 0.10) -> DataFrame:
 def winsorize_by_feature(long: DataFrame, period: float, p: float = 0.10, rows: int = BLOCK_ROWS) -> DataFrame:
     """The same per (symbol, feature); limits reach the cells block by block."""
     counts = long.groupBy(*KEYS).agg(F.count("value").alias("n"))
-    limits = order_statistics(long, KEYS, "value", _limits(counts, p))
+    limits = order_statistics(long, KEYS, "value", limit_ranks(counts, p))
     pair = limits.groupBy(*KEYS).pivot("name", ["low", "high"]).agg(F.first("value"))
     f = _frame(long, period, rows=rows)
     f = f.carry_with({"_t": F.count(F.lit(1))}, lambda part: part.drop("_t").join(pair, list(KEYS)))

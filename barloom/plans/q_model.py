@@ -13,7 +13,7 @@ from barloom.operators import forest as R
 from barloom.operators import symbol_models as M
 from barloom.plans import batch
 from barloom.plans.catalog import HOUR, present, query
-from barloom.plans.q_batch import base
+from barloom.plans.q_base import base, shared
 from barloom.session import materialize, new_path
 
 TREES, PATIENCE = 25, 5
@@ -25,7 +25,7 @@ KEEP = 30
 def chain(spark, sf_dir):
     """Base table and normalised cells, both written."""
     bars = base(spark, sf_dir)
-    return bars, materialize(batch.cells(bars, HOUR), "cells")
+    return bars, shared("cells", spark, sf_dir, lambda: materialize(batch.cells(bars, HOUR), "cells"))
 
 
 def fitted(spark, sf_dir):

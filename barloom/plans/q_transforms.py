@@ -1,28 +1,27 @@
-"""Column transforms over the long form of a few hourly columns."""
+"""Column transforms over the long form of all 57 hourly base columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import sanitize as clean
-from barloom.operators import features as A
+from barloom.operators import fitted as P
+from barloom.operators import labels as L
 from barloom.operators import transforms as T
+from barloom.plans import batch
 from barloom.plans import sqltext as S
 from barloom.plans.catalog import HOUR, present, query
-from barloom.plans.q_features import VARIANCE, VOL5, hourly
+from barloom.plans.q_base import BASE_SQL, CELLS_SQL, base
 from barloom.session import materialize
 
-COLUMNS = ("open", "close", "volume", "spread2", "Volatility")
+COLUMNS = batch.BASE
 
 
 def wide(spark, sf_dir):
-    b = A.f_variance(A.f_volatility5(hourly(spark, sf_dir), HOUR), HOUR)
-    b = A.f_range_spread(b)
-    return b.withColumns({c: clean(c) for c in ("Volatility", "variance")})
+    return base(spark, sf_dir)
 
 
 def cells(spark, sf_dir, keep=()):
-    """Long form, written once: most transforms read it twice."""
+    """Long form of all base columns, written once: most transforms read it twice."""
     return materialize(T.to_long(wide(spark, sf_dir), COLUMNS, keep), "cells")
 
 
@@ -30,18 +29,7 @@ def long_sql(s: str) -> str:
     return s.replace("partition by symbol", "partition by symbol, feature")
 
 
-WIDE = [
-    *S.bars(HOUR),
-    ("w1", f"select *, high - low as spread2, {VOL5[1]} from bars"),
-    ("w2", f"select *, {VARIANCE[0][1]} from w1"),
-    ("w3", f"select *, {VARIANCE[1][1]} from w2"),
-    ("wide", "select * replace (coalesce(Volatility, 1e-7) as Volatility, coalesce(variance, 1e-7) as variance) from w3"),
-    (
-        "cells",
-        "select symbol, bar_ts, feature, value, by_volume, by_variance from "
-        f"(select *, volume as by_volume, variance as by_variance from wide) unpivot (value for feature in ({', '.join(COLUMNS)}))",
-    ),
-]
+WIDE = [BASE_SQL, ("wide", "select * from base"), CELLS_SQL]
 
 
 def text(out: str, *steps: tuple[str, str]) -> str:
@@ -165,9 +153,10 @@ SCORES = (
 )
 
 
-@query("zscore_expanding", text("zscore", *zip(("t1", "t2", "t3", "t4"), SCORES, strict=True)))
+@query("zscore_expanding", text("zscore", *zip(("t1", "t2", "t3", "t4"), SCORES, strict=True), ("t5", "round(zscore, 6) as zscore")).replace("select *, round", "select * exclude (zscore), round"))
 def zscore_expanding(spark, sf_dir):
-    return show(T.zscore_expanding(cells(spark, sf_dir), HOUR), "zscore")
+    """Six decimals: the change of a score of a slow series is a difference of near numbers."""
+    return show(T.zscore_expanding(cells(spark, sf_dir), HOUR).withColumn("zscore", F.round("zscore", 6)), "zscore")
 
 
 def _winsor_sql(by: str) -> str:
@@ -214,6 +203,7 @@ def signal_zscore(spark, sf_dir):
     return show(T.signal_zscore(cells(spark, sf_dir), HOUR), "zscore")
 
 
+TINY = 1e-7  # a mean that small against its values is shown as 0: its digits are the rounding of a sum
 DESCRIBED = ("mean", "std", "min", "max", "p25", "p50", "p75")
 
 
@@ -228,7 +218,76 @@ DESCRIBED = ("mean", "std", "min", "max", "p25", "p50", "p75")
                    quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.75) as p75 from cells group by 1, 2""",
         ),
     )
-    + f'select symbol, feature, "count", {S.cols(*DESCRIBED)} from t1',
+    + f"""select symbol, feature, "count", {S.cols(*DESCRIBED)}
+          from (select * replace (case when abs(mean) < {TINY!r} * greatest(abs(min), abs(max)) then 0.0 else mean end as mean) from t1)""",
 )
 def describe_features(spark, sf_dir):
-    return present(T.describe_features(cells(spark, sf_dir)), "symbol", "feature", "count", *DESCRIBED)
+    out = T.describe_features(cells(spark, sf_dir))
+    tiny = F.abs("mean") < TINY * F.greatest(F.abs("min"), F.abs("max"))
+    return present(out.withColumn("mean", F.when(tiny, 0.0).otherwise(F.col("mean"))), "symbol", "feature", "count", *DESCRIBED)
+
+
+# ---- fitted on the training rows ----------------------------------------------------------
+
+TRAINED = [
+    *WIDE,
+    ("p0", f"select symbol, bar_ts, row_number() over {S.SEQ} - 1 as pos, count(*) over {S.ALL} as n from wide"),
+    ("p1", "select *, cast(round_even(n / 2.0, 0) as bigint) as half from p0"),
+    ("parts", "select symbol, bar_ts, pos, pos < half - ceil(half * cast(0.55 as double)) as train from p1"),
+    ("c1", "select c.*, pos, train from cells c join parts using (symbol, bar_ts)"),
+]
+
+
+def on_train(spark, sf_dir):
+    """All cells, and those of the training rows of the time split."""
+    long = cells(spark, sf_dir)
+    train = L.split_time(wide(spark, sf_dir).select("symbol", "bar_ts"), HOUR).where("split = 'train'").select("symbol", "bar_ts")
+    return long, materialize(long.join(train, ["symbol", "bar_ts"], "left_semi"), "train-cells")
+
+
+def fitted_sql(params: str, out: str, name: str) -> str:
+    return (
+        S.chain(*TRAINED, ("fit", f"select symbol, feature, {params} from c1 where train group by 1, 2"), ("done", f"select c.*, {out} as {name} from c1 c join fit using (symbol, feature)"))
+        + f"select symbol, feature, bar_ts, {S.cols(name)} from done"
+    )
+
+
+@query(
+    "col_detrend_train",
+    fitted_sql(
+        "coalesce(regr_slope(value, pos), 0) as b, avg(value) as my, avg(pos) as mx",
+        f"case when abs(value - (my + b * (pos - mx))) > {T.ROUNDING!r} * greatest(abs(value), abs(my) + abs(b * (pos - mx))) then value - (my + b * (pos - mx)) else 0.0 end",
+        "detrended",
+    ),
+)
+def col_detrend_train(spark, sf_dir):
+    long, train = on_train(spark, sf_dir)
+    return show(P.detrend(long, P.fit_lines(train, HOUR), HOUR), "detrended")
+
+
+@query(
+    "signal_zscore_train",
+    fitted_sql("avg(value) as m, case when min(value) = max(value) then 0.0 else stddev_pop(value) end as s", S.ratio("(value - m)", "s"), "zscore"),
+)
+def signal_zscore_train(spark, sf_dir):
+    long, train = on_train(spark, sf_dir)
+    return show(P.zscore(long, P.fit_moments(train), HOUR), "zscore")
+
+
+@query("minmax_norm_train", fitted_sql("min(value) as lo, max(value) as hi", f"2 * {S.ratio('(value - lo)', '(hi - lo)')} - 1", "norm"))
+def minmax_norm_train(spark, sf_dir):
+    long, train = on_train(spark, sf_dir)
+    return show(P.minmax(long, P.fit_range(train), HOUR), "norm")
+
+
+@query(
+    "winsorize_train",
+    fitted_sql(
+        "list_sort(list(value))[cast(floor(0.1 * count(*)) as bigint) + 1] as lo, list_sort(list(value))[count(*) - cast(floor(0.1 * count(*)) as bigint)] as hi",
+        "least(greatest(value, lo), hi)",
+        "winsorized",
+    ),
+)
+def winsorize_train(spark, sf_dir):
+    long, train = on_train(spark, sf_dir)
+    return show(P.winsorize(long, P.fit_limits(train), HOUR), "winsorized")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.bars import bars, vwap_hl
 from barloom.operators.features import f_volatility5
-from barloom.plans import q_bars, q_batch, q_decisions, q_features, q_model, q_quotes, q_streaming, q_transforms  # noqa: F401
+from barloom.plans import q_bars, q_base, q_batch, q_decisions, q_features, q_model, q_quotes, q_streaming, q_transforms  # noqa: F401
 from barloom.plans.catalog import CATALOG, FIVE_MINUTES
 from barloom.session import materialize
 from barloom.sources import fixtures
