@@ -21,7 +21,7 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = ("~!@#$%^&*()_+", "QWERTYUIOP{}|", 'ASDFGHJKL:"', "ZXCVBNM<>?")
 INDENT = (0, 1, 1, 1)
 # Letters that other signs stand for.
-LOOKALIKE = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "2": "z"})
+LOOKALIKE = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t"})
 
 KEY: dict[str, tuple[int, int]] = {}
 for _y, (_plain, _shift, _indent) in enumerate(zip(ROWS, SHIFTED, INDENT, strict=True)):

@@ -106,7 +106,7 @@ def guess_costs(values: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(costs, pa.float64())], ["value_id", "cost"])
 
     total = words.agg(F.sum("n")).first()[0] or 0  # one number
-    parts = values.mapInArrow(spell, "value_id binary, word string")
+    parts = materialize(values.mapInArrow(spell, "value_id binary, word string"), "spellings")  # many rows a value: a join has to know
     known = parts.join(words, "word").groupBy("value_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     priced = values.join(known, "value_id", "left").select("value_id", "value", "words")
     return priced.mapInArrow(price, "value_id binary, cost double")
