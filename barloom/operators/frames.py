@@ -70,10 +70,18 @@ class Frame:
         after: int = 0,
         keys: Sequence[str] = ("symbol",),
         rows: int = BLOCK_ROWS,
+        gaps: bool = False,
     ) -> Frame:
-        """Cut gap-free bars into blocks; `before` and `after` are the rows each block borrows."""
+        """Cut gap-free bars into blocks; `before` and `after` are the rows each block borrows.
+
+        With `gaps`, bars may be missing: they are numbered first, at the price of a pass over block
+        counts, and the neighbours borrowed are rows that exist, however far away.
+        """
         i = F.col("_i")
         df = df.withColumn("_i", grid_index("bar_ts", period))
+        if gaps:
+            numbered = cls(df.withColumn("_b", _block(i, rows)), tuple(keys), ("_i",), rows).positions(pos="_at", n="_n").df
+            df = numbered.drop("_b", "_n", "_i").withColumnRenamed("_at", "_i")
         if before or after:
             blocks = F.sequence(_block(i - after, rows), _block(i + before, rows))
             df = df.withColumn("_b", F.explode(blocks))

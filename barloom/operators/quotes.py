@@ -24,8 +24,8 @@ CLOSE_HOUR = 22
 
 
 def inventory(df: DataFrame, positions: DataFrame) -> DataFrame:
-    """Position size per symbol; a symbol without a position counts as 1."""
-    held = positions.select("symbol", F.col("qty").cast("int").cast("double").alias("_qty"))
+    """Position size per symbol; rows of one symbol add up, and a symbol without a position counts as 1."""
+    held = positions.groupBy("symbol").agg(F.sum(F.col("qty").cast("int")).cast("double").alias("_qty"))
     return df.join(held, "symbol", "left").withColumn("inventory", F.coalesce("_qty", F.lit(1.0))).drop("_qty")
 
 
@@ -38,15 +38,16 @@ def gamma(
 ) -> DataFrame:
     """Inventory risk per symbol: |qty| / 1000 with a position, less than 0.01 without one.
 
-    Symbols whose rule is `index` use |qty| / 100. `fixed` gives every symbol one value (the live
+    Rows of one symbol add up. Symbols with a rule `index` use |qty| / 100. `fixed` gives every symbol one value (the live
     form always ended at 0.002).
     """
     if fixed is not None:
         return df.withColumn("gamma", F.lit(float(fixed)))
-    held = positions.select("symbol", F.abs(F.col("qty").cast("int")).cast("double").alias("_held"))
+    held = positions.groupBy("symbol").agg(F.abs(F.sum(F.col("qty").cast("int"))).cast("double").alias("_held"))
     df = df.join(held, "symbol", "left")
     if rules is not None:
-        df = df.join(rules.select("symbol", F.col("rule").alias("_rule")), "symbol", "left")
+        index = rules.groupBy("symbol").agg(F.max(F.when(F.col("rule") == "index", F.lit("index"))).alias("_rule"))
+        df = df.join(index, "symbol", "left")
     else:
         df = df.withColumn("_rule", F.lit(None).cast("string"))
     variance = F.lit(current_variance) if isinstance(current_variance, float) else current_variance

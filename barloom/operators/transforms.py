@@ -39,16 +39,17 @@ def to_wide(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("symbol", "bar_ts").pivot("feature", list(columns)).agg(F.first("value"))
 
 
-def _frame(long: DataFrame, period: float, before: int = 0, after: int = 0, rows: int = BLOCK_ROWS) -> Frame:
-    return Frame.of(long, period, before=before, after=after, keys=KEYS, rows=rows)
+def _frame(long: DataFrame, period: float, before: int = 0, after: int = 0, rows: int = BLOCK_ROWS, gaps: bool = False) -> Frame:
+    return Frame.of(long, period, before=before, after=after, keys=KEYS, rows=rows, gaps=gaps)
 
 
 def sanitize(long: DataFrame, column: str = "value") -> DataFrame:
     return long.withColumn(column, N.sanitize(column))
 
 
-def lag_diff(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    f = _frame(long, period, before=1, rows=rows)
+def lag_diff(long: DataFrame, period: float, rows: int = BLOCK_ROWS, gaps: bool = False) -> DataFrame:
+    """value minus the one before; `gaps` says that bars may be missing (see Frame.of)."""
+    f = _frame(long, period, before=1, rows=rows, gaps=gaps)
     return f.add(diff=F.col("value") - F.lag("value").over(f.w)).own()
 
 
@@ -69,18 +70,18 @@ def col_div_rolling(df: DataFrame, period: float, columns: Sequence[str], by: st
     return long.select("symbol", "bar_ts", "feature", "value", N.div("value", "by__by5").alias("ratio"))
 
 
-def col_smooth(long: DataFrame, period: float, n: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rolling mean; 5 in the batch form, 10 in the live one."""
-    f = _frame(long, period, before=n - 1, rows=rows)
+def col_smooth(long: DataFrame, period: float, n: int = 5, rows: int = BLOCK_ROWS, gaps: bool = False) -> DataFrame:
+    """Rolling mean; 5 in the batch form, 10 in the live one. `gaps` says that bars may be missing (see Frame.of)."""
+    f = _frame(long, period, before=n - 1, rows=rows, gaps=gaps)
     return f.roll(smooth=R.mean("value", n)).own()
 
 
-def col_savgol(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataFrame:
+def col_savgol(long: DataFrame, period: float, rows: int = BLOCK_ROWS, gaps: bool = False) -> DataFrame:
     """Savitzky-Golay smoothing, window 5, order 3. Looks two rows ahead, so not for live use.
 
     The first and last two rows take the value of the cubic through the first and last five rows.
     """
-    return _savgol_stage(_frame(long, period, before=4, after=4, rows=rows)).own()
+    return _savgol_stage(_frame(long, period, before=4, after=4, rows=rows, gaps=gaps)).own()
 
 
 def _savgol_stage(f: Frame) -> Frame:
