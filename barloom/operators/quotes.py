@@ -291,8 +291,9 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
     aggregation over the distances, in which orders enter as count, sum and sum of squares.
 
     Symbols need two distances (three with `offset`); those with one have rate 0 and no row with
-    `offset`, and those whose error falls for ever as the rate grows have no row. With `offset`, a
-    straight line is rate 0 with null `a` and `c`. What is left of the error after rounding is 0.
+    `offset`. Where the error falls for ever as the rate grows, the least of the rates compared is
+    taken that comes within twelve digits of the limit. With `offset`, a straight line is rate 0 with
+    null `a` and `c`. What is left of the error after rounding is 0.
     """
     d = F.col("duration")
     points = durations.groupBy("symbol", F.col("offset").alias("x")).agg(
@@ -324,6 +325,8 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
     order = sorted(tried)
     low = F.create_map(*[F.lit(float(x)) for pair in zip(order, [order[0], *order[:-1]], strict=True) for x in pair])
     high = F.create_map(*[F.lit(float(x)) for pair in zip(order, [*order[1:], order[-1]], strict=True) for x in pair])
+    limit = grid.join(best.filter(rising).select("symbol", "most", "all"), "symbol").filter(F.col("explained") >= F.col("most") - NEAR * F.col("all"))
+    limit = span.join(limit.groupBy("symbol").agg(F.min_by("rate", F.struct(F.abs("rate"), -F.col("rate"))).alias("rate")), "symbol")
     best = best.filter(~rising).select("symbol", F.when(F.col("d") == 0, 0.0).otherwise(F.col("rate")).alias("rate"))
     best = best.withColumns({"lo": low[F.col("rate")], "hi": high[F.col("rate")]})
     state = materialize(span.join(best, "symbol").withColumn("moved", F.lit(1.0)), "bracket")
@@ -340,7 +343,7 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
         if state.filter(F.col("moved") > NEAR).isEmpty():
             break
     flat = span.filter("x1 = x0").select("symbol", "x0", "x1", "k", F.lit(0.0).alias("rate"))
-    done = sums(state.select("symbol", "x0", "x1", "k", "rate").unionByName(flat))
+    done = sums(state.select("symbol", "x0", "x1", "k", "rate").unionByName(flat).unionByName(limit.select("symbol", "x0", "x1", "k", "rate")))
     wide = F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0")).otherwise(1.0)
     error = F.col("dd") - F.col("explained")
     done = done.withColumns({"kappa": F.col("rate") / wide, "sse": F.when(error > NEAR * F.col("dd"), error).otherwise(0.0)})

@@ -501,13 +501,15 @@ def decay_sql(offset: bool) -> str:
                        max(case when abs(rate) >= {far!r} then explained end) over (partition by symbol) as far from grid"""),
         ("ordered", "select symbol, rate, lag(rate, 1, rate) over w as lo, lead(rate, 1, rate) over w as hi from grid window w as (partition by symbol order by rate)"),
         ("first", f"""select o.symbol, o.rate, o.lo, o.hi from ranked k join ordered o on o.symbol = k.symbol and o.rate = k.rate
-                      where k.r = 1 and not (k.far >= k.most - {Q.NEAR!r} * k.dd)"""),
+                      where k.r = 1 and not (k.far >= k.most - {Q.NEAR!r} * k.dd and k.d <> 0)"""),
         ("halved", f"""select symbol, rate, lo, hi, 0 as step from first
                        union all
                        select symbol, (lo + hi) / 2, lo, hi, step + 1 from (
-                           select symbol, step, case when slope > 0 then rate else lo end as lo, case when slope > 0 then hi else rate end as hi
+                           select symbol, step, case when slope >= 0 then rate else lo end as lo, case when slope > 0 then hi else rate end as hi
                            from ({fits("halved")}) where step < 90)"""),
-        ("ended", f"select symbol, rate, lo, hi, step from halved where step = 90{flat}"),
+        ("limits", f"""select symbol, arg_min(rate, struct_pack(a := abs(rate), b := -rate)) as rate from ranked
+                       where far >= most - {Q.NEAR!r} * dd and explained >= most - {Q.NEAR!r} * dd and d <> 0 group by 1"""),
+        ("ended", f"select symbol, rate, lo, hi, step from halved where step = 90 union all select symbol, rate, 0.0, 0.0, 0 from limits{flat}"),
         ("found", fits("ended")),
         ("fitted", shown.format(near=repr(Q.NEAR))),
     ).replace("with ", "with recursive ", 1).replace("from points p join", "from span_points p join")
