@@ -127,10 +127,10 @@ def train(docs: DataFrame, rated: DataFrame, grades: int, max_labelled: int = 12
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
-    got = have.mapInArrow(tally, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.bincount(got["k"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64), (1 << bits) * grades)
-    per_grade = have.groupBy("_grade").count().toPandas()
-    chosen = telling(seen.reshape(-1, grades), np.bincount(per_grade["_grade"].to_numpy(dtype=np.int64), per_grade["count"].to_numpy(dtype=np.int64), grades))
+    got = have.mapInArrow(tally, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.bincount(got["k"].to_numpy(), got["n"].to_numpy(), (1 << bits) * grades)
+    per_grade = have.groupBy("_grade").count().toArrow()
+    chosen = telling(seen.reshape(-1, grades), np.bincount(per_grade["_grade"].to_numpy(), per_grade["count"].to_numpy(), grades))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.zeros(1 << bits, bool)
@@ -145,10 +145,10 @@ def train(docs: DataFrame, rated: DataFrame, grades: int, max_labelled: int = 12
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["_id", "_grade", "_f"])
 
     # Sorted, so that the fit does not depend on the order of tasks.
-    found = have.mapInArrow(tokens, "_id long, _grade int, _f array<int>").orderBy("_id", F.size("_f")).toPandas()
-    sizes = found["_f"].map(len).to_numpy(dtype=np.int64) if len(found) else np.empty(0, np.int64)
-    bucket = np.concatenate(found["_f"].to_list()).astype(np.int64) if len(found) else np.empty(0, np.int64)
-    return fit(np.repeat(np.arange(len(found)), sizes), bucket, found["_grade"].to_numpy(dtype=np.int64), grades, bits)
+    found = have.mapInArrow(tokens, "_id long, _grade int, _f array<int>").orderBy("_id", F.size("_f")).toArrow()
+    lists = found["_f"].combine_chunks()
+    sizes, bucket = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64), lists.flatten().to_numpy().astype(np.int64)
+    return fit(np.repeat(np.arange(len(sizes)), sizes), bucket, found["_grade"].to_numpy().astype(np.int64), grades, bits)
 
 
 def inputs(docs: DataFrame, rated: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
