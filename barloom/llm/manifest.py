@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import materialize
 
+PLANNED = 4  # levels whose paths are handed down in one plan
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")  # fixed values: what a leaf covers, in this order
 
 
@@ -102,9 +103,12 @@ def build(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
 
 
 def paths(levels: list[DataFrame], arity: int) -> DataFrame:
-    """The lowest level's rows with `_path`, the `_others` from their level to the root, handed down from parent to child."""
+    """The lowest level's rows with `_path`, the `_others` from their level to the root, handed down from parent to child.
+
+    Every few levels the paths are written, which keeps plans short; the lowest ones, which are most of the rows, are not.
+    """
     above = None
-    for level in reversed(levels):
+    for k, level in reversed(list(enumerate(levels))):
         own = F.array("_others")
         if above is None:
             above = level.withColumn("_path", own).drop("_others")
@@ -113,6 +117,8 @@ def paths(levels: list[DataFrame], arity: int) -> DataFrame:
         child = level.withColumn("_parent", F.expr(f"_at div {arity}"))
         child = child.join(parent, (F.col("_tree") == F.col("_t")) & (F.col("_parent") == F.col("_s")), "left").drop("_t", "_s", "_parent")
         above = child.withColumn("_path", F.when(F.col("_up").isNull(), own).otherwise(F.concat(own, F.col("_up")))).drop("_up", "_others")
+        if k and k % PLANNED == 0:
+            above = materialize(above, "manifest-paths")
     return above
 
 
