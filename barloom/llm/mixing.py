@@ -67,19 +67,19 @@ def marginal_errors(w: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
     """Iterative proportional fitting: (dims, n, w) with w starting at n and scaled to each marginal in turn.
 
-    Sweeps end when all marginals are met (see `marginal_errors`), or after `sweeps` of them. Each
-    step aggregates weights by one dimension and joins the factors back, for any number of cells; a
-    sweep is a table of its own. A value without a target, or without weight, keeps its weight.
+    Sweeps end when one found all marginals met, or after `sweeps` of them. Each step aggregates
+    weights by one dimension and joins the factors back, for any number of cells, and is a table of
+    its own, so that plans stay short. A value without a target, or without weight, keeps its weight.
     """
     w = cells.withColumn("w", F.col("n").cast("double"))
     for _ in range(sweeps):
+        worst = 0.0
         for dim, target in targets.items():
-            have = w.groupBy(dim).agg(F.sum("w").alias("_have"))
-            factor = have.join(target, dim, "left").select(dim, F.coalesce(F.try_divide("share", "_have"), F.lit(1.0)).alias("_f"))
-            w = w.join(factor, dim).withColumn("w", F.col("w") * F.col("_f")).drop("_f")
-        w = materialize(w, "rake")
-        worst = marginal_errors(w, targets).agg(F.max("error")).first()[0]  # one number
-        if worst is None or worst <= SETTLED:
+            have = w.groupBy(dim).agg(F.sum("w").alias("_have")).join(target, dim, "left")
+            worst = max(worst, have.agg(F.max(F.abs(F.col("_have") - F.col("share")))).first()[0] or 0.0)  # one number
+            factor = have.select(dim, F.coalesce(F.try_divide("share", "_have"), F.lit(1.0)).alias("_f"))
+            w = materialize(w.join(factor, dim).withColumn("w", F.col("w") * F.col("_f")).drop("_f"), "rake")
+        if worst <= SETTLED:
             break
     return w
 
