@@ -276,7 +276,8 @@ def fill_time(fills: DataFrame) -> DataFrame:
 RATES = (0.0, *(sign * 10 ** (j / 2) for j in range(-6, 7) for sign in (1, -1)))  # first rates tried, per span of distances
 WIDEN = 100.0  # factor by which the outermost rates grow while they are best
 WIDEST = 1e12
-SERIES = 0.01  # rates below this use the first terms of the series, where the closed forms cancel
+SERIES = 0.01  # least size that a step is measured by
+LINE, TERMS = 0.5, 13  # with an offset, rates below this are summed as series of so many terms, as the closed forms cancel there
 STEPS = 100
 NEAR = 1e-12  # step, by the rate's size, at which a rate counts as found
 
@@ -300,7 +301,9 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
         F.count(d).cast("double").alias("n"), F.sum(d).alias("d"), F.sum(d * d).alias("dd")
     )
     points = materialize(points.filter("n > 0 and x is not null"), "distances")
-    span = points.groupBy("symbol").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("x").alias("k"))
+    # `mid` is near the mean duration, and short, so that taking it off the sums of a distance is exact
+    mid = (F.sum("d") / F.sum("n")).cast("float").cast("double") if offset else F.lit(0.0)
+    span = points.groupBy("symbol").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("x").alias("k"), mid.alias("mid"))
     span = materialize(span.filter("k > 2") if offset else span, "spans")
 
     def sums(state: DataFrame) -> DataFrame:
@@ -338,20 +341,22 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
         inside = (F.col("_to") > F.col("lo")) & (F.col("_to") < F.col("hi")) & (F.col("curve") < 0)
         to = F.when(F.col("slope") == 0, F.col("rate")).when(inside, F.col("_to")).otherwise((F.col("lo") + F.col("hi")) / 2)
         moved = F.abs(to - F.col("rate")) / F.greatest(F.abs(to), F.lit(SERIES))
-        state = at.select("symbol", "x0", "x1", "k", "lo", "hi", to.alias("rate"), moved.alias("moved"))
+        state = at.select(*span.columns, "lo", "hi", to.alias("rate"), moved.alias("moved"))
         state = materialize(state, "bracket")
         if state.filter(F.col("moved") > NEAR).isEmpty():
             break
-    flat = span.filter("x1 = x0").select("symbol", "x0", "x1", "k", F.lit(0.0).alias("rate"))
-    done = sums(state.select("symbol", "x0", "x1", "k", "rate").unionByName(flat).unionByName(limit.select("symbol", "x0", "x1", "k", "rate")))
+    flat = span.filter("x1 = x0").withColumn("rate", F.lit(0.0))
+    done = sums(state.select(*span.columns, "rate").unionByName(flat).unionByName(limit.select(*span.columns, "rate")))
     wide = F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0")).otherwise(1.0)
     error = F.col("dd") - F.col("explained")
     done = done.withColumns({"kappa": F.col("rate") / wide, "sse": F.when(error > NEAR * F.col("dd"), error).otherwise(0.0)})
     far = F.exp(F.col("kappa") * _near_end())
     if not offset:
         return done.select("symbol", "kappa", (F.col("level") * far).alias("a"), "sse")
-    a = F.try_divide(-F.col("level"), "rate") * far
-    return done.select("symbol", "kappa", a.alias("a"), (F.col("base") + F.try_divide("level", "rate")).alias("c"), "sse")
+    line = F.abs("rate") < LINE
+    a = F.when(line, F.try_divide(-F.col("level"), "rate")).otherwise(F.col("level")) * far
+    c = F.when(line, F.col("base") + F.try_divide("level", "rate")).otherwise(F.col("base"))
+    return done.select("symbol", "kappa", a.alias("a"), c.alias("c"), "sse")
 
 
 def _near_end() -> Column:
@@ -362,27 +367,36 @@ def _near_end() -> Column:
 def _decay_sums(points: DataFrame, offset: bool, keep: list[str]) -> DataFrame:
     """Sums per symbol and rate of the curve, its first two derivatives by the rate, and their products.
 
-    u is the distance from the near end by the span, so exp(-rate u) is 1 at most. Without offset the
-    curve is e = exp(-rate u). With it, f = (1 - e) / rate spans the same fits and is u at rate 0.
+    u is the distance from the near end by the span, so exp(-rate u) is 1 at most. The curve is
+    e = exp(-rate u). With offset and near rate 0, where e is all but constant, (1 - e) / rate spans the
+    same fits and is u at rate 0; at large rates that one in turn is all but a multiple of its
+    derivative. With offset, durations enter less `mid`, so that no sum is much larger than what is left of it.
     """
     r, wide = F.col("rate"), F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0")).otherwise(1.0)
     p = points.withColumn("u", (F.col("x") - _near_end()) / wide).withColumn("e", F.exp(-r * F.col("u")))
     u, e = F.col("u"), F.col("e")
     if offset:
-        small = F.abs(r) < SERIES
-        first = [F.pow(u, F.lit(float(j + 1))) * (-1.0) ** j / math.factorial(j + 1) for j in range(7)]  # of f, by powers of the rate
-        series = lambda k: sum((first[j] * float(math.perm(j, k)) * F.pow(r, F.lit(float(j - k))) for j in range(k, 7)), F.lit(0.0))
-        p = p.withColumn("f", F.when(small, series(0)).otherwise(-F.expm1(-r * u) / r))
-        p = p.withColumn("g", F.when(small, series(1)).otherwise((u * e - F.col("f")) / r))
-        p = p.withColumn("h", F.when(small, series(2)).otherwise((-u * u * e - 2 * F.col("g")) / r))
+        line, z = F.abs(r) < LINE, -r * u
+
+        def series(k: int) -> Column:
+            """The k-th derivative of (1 - e) / rate, by nested products from the last term on."""
+            out = F.lit(0.0)
+            for j in range(k + TERMS, k - 1, -1):
+                out = out * z + math.perm(j, k) / math.factorial(j + 1)
+            return out * (-1.0) ** k * F.pow(u, F.lit(float(k + 1)))
+
+        p = p.withColumns({
+            "f": F.when(line, series(0)).otherwise(e), "g": F.when(line, series(1)).otherwise(-u * e), "h": F.when(line, series(2)).otherwise(u * u * e),
+        })
     else:
         p = p.withColumns({"f": e, "g": -u * e, "h": u * u * e})
-    n, d, f, g, h = (F.col(c) for c in ("n", "d", "f", "g", "h"))
+    p = p.withColumn("y", F.col("d") - F.col("n") * F.col("mid"))
+    n, d, y, f, g, h = (F.col(c) for c in ("n", "d", "y", "f", "g", "h"))
     rest = [c for c in keep if c != "rate"]
     return p.groupBy("symbol", "rate", *rest).agg(
-        F.sum(n).alias("n"), F.sum(d).alias("d"), F.sum("dd").alias("dd"),
+        F.sum(n).alias("n"), F.sum(d).alias("d"), F.sum("dd").alias("dd"), F.sum(y).alias("y"),
         F.sum(n * f).alias("f"), F.sum(n * g).alias("g"), F.sum(n * h).alias("h"),
-        F.sum(d * f).alias("df"), F.sum(d * g).alias("dg"), F.sum(d * h).alias("dh"),
+        F.sum(y * f).alias("yf"), F.sum(y * g).alias("yg"), F.sum(y * h).alias("yh"),
         F.sum(n * f * f).alias("ff"), F.sum(n * f * g).alias("fg"), F.sum(n * (g * g + f * h)).alias("gg"),
     )
 
@@ -393,7 +407,7 @@ def _slopes(s: DataFrame, offset: bool) -> DataFrame:
     s = s.withColumns({
         "E": centred("ff", "f", "f"), "E1": 2 * centred("fg", "f", "g"),
         "E2": 2 * (F.col("gg") - (F.col("g") * F.col("g") + F.col("f") * F.col("h")) / F.col("n") if offset else F.col("gg")),
-        "P": centred("df", "f", "d"), "P1": centred("dg", "g", "d"), "P2": centred("dh", "h", "d"),
+        "P": centred("yf", "f", "y"), "P1": centred("yg", "g", "y"), "P2": centred("yh", "h", "y"),
     })
     sign = F.signum("P")  # the slope of P^2 / E is a positive factor times sign * (2 P' E - P E')
     mean = F.col("d") * F.col("d") / F.col("n") if offset else F.lit(0.0)

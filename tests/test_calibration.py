@@ -1,5 +1,7 @@
 """Decay fits against known rates and against a plain search."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,44 @@ def test_undetermined(spark):
     with_offset = {r.symbol: r for r in Q.decay_fit(orders(spark, rows), offset=True).collect()}
     assert "one" not in with_offset and abs(with_offset["line"].kappa) < 1e-6 and with_offset["line"].sse < 1e-9
     assert Q.decay_fit(orders(spark, rows).where("false")).count() == 0
+
+
+def exact(x, n, d, kappa):
+    """kappa and a where the slope of the error with offset is 0 next to a given rate, in fifty digits."""
+    from decimal import Decimal as D
+    from decimal import localcontext
+
+    with localcontext(prec=50):
+        x, n, d = ([D(v) for v in values] for values in (x, n, d))
+        dot = lambda *cols: sum(math.prod(row) for row in zip(*cols, strict=True))
+
+        def parts(k):
+            e = [(-k * v).exp() for v in x]
+            g = [-v * w for v, w in zip(x, e, strict=True)]
+            fit = dot(d, e) - sum(d) * dot(n, e) / sum(n), dot(n, e, e) - dot(n, e) ** 2 / sum(n)
+            slope = dot(d, g) - sum(d) * dot(n, g) / sum(n), dot(n, e, g) - dot(n, e) * dot(n, g) / sum(n)
+            return slope[0] * fit[1] - fit[0] * slope[1], fit[0] / fit[1]
+
+        k0 = D(kappa)
+        k1, f0 = k0 * (1 + D("1e-7")), parts(k0)[0]
+        while abs(k1 - k0) > abs(k1) * D("1e-30"):
+            f1 = parts(k1)[0]
+            k0, k1, f0 = k1, k1 - f1 * (k1 - k0) / (f1 - f0), f1
+        return float(k1), float(parts(k1)[1])
+
+
+def test_digits_of_weak_trends(spark):
+    """Long durations that hardly go with the distance: rates and levels have eleven digits all the same."""
+    r, rows, data = np.random.default_rng(7), [], {}
+    for k in range(40):
+        d = 20_000_000_000 + r.integers(0, 200_000_000, (7, 30))
+        data[f"s{k}"] = d
+        rows += [(f"s{k}", (i + 1) / 100, v) for i in range(7) for v in d[i]]
+    got, seen = Q.decay_fit(orders(spark, rows), offset=True).collect(), 0
+    for g in got:
+        if not 0.1 < abs(g.kappa) < 700:  # the others' error falls for ever, or they are lines
+            continue
+        seen += 1
+        kappa, a = exact([(i + 1) / 100 for i in range(7)], [30] * 7, data[g.symbol].sum(1).tolist(), g.kappa)
+        assert g.kappa == pytest.approx(kappa, rel=1e-11) and g.a == pytest.approx(a, rel=1e-11), g.symbol
+    assert seen > 10
