@@ -123,6 +123,21 @@ def bars(trades: DataFrame, period: float, rows: int = BLOCK_ROWS, seq_bits: int
     return fill_bars(trade_bars(trades, period, seq_bits), period, rows)
 
 
+def newest_bars(trades: DataFrame, period: float, n: int, rows: int = BLOCK_ROWS, seq_bits: int | None = None) -> DataFrame:
+    """The last n of the gap-free bars per symbol, without filling the gaps before them.
+
+    The last n filled bars cover at least n bins. Those before the first bin wanted leave, and the
+    one that reaches into it starts there, as an empty bin.
+    """
+    every = Window.partitionBy("symbol")  # n filled bars at most
+    i = grid_index("bar_ts", period)
+    sparse = last_bars(trade_bars(trades, period, seq_bits), n).withColumn("_at", i)
+    sparse = sparse.select("*", (F.max("_at").over(every) - (n - 1)).alias("_first"), F.lead("_at").over(every.orderBy("_at")).alias("_then"))
+    sparse = sparse.filter("_at >= _first or _then > _first")
+    moved = {"bar_ts": grid_time(F.greatest("_at", "_first"), period), "volume": F.when(F.col("_at") >= F.col("_first"), F.col("volume")).otherwise(0.0)}
+    return fill_bars(sparse.withColumns(moved).drop("_at", "_first", "_then"), period, rows)
+
+
 def bars_merge(ohlc: DataFrame, *others: DataFrame) -> DataFrame:
     """Join per-bin tables on the bin, keeping the bins of the first."""
     out = ohlc

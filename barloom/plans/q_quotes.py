@@ -149,11 +149,11 @@ DAILY_VARIANCE = [
     + f"select symbol, {S.cols('gamma')} from g",
 )
 def q_gamma(spark, sf_dir):
-    daily = B.bars(fixtures.trades_daily(spark, sf_dir), DAY)
+    daily = B.newest_bars(fixtures.trades_daily(spark, sf_dir), DAY, 9)  # what the last variance looks back on
     last = C.last_bars(f_variance(daily, DAY), 1).select(
         "symbol", F.coalesce("variance", F.lit(1e-7)).alias("current_variance")
     )
-    held = fixtures.positions(spark, sf_dir)
+    held = fixtures.held(spark, sf_dir)
     symbols = fixtures.symbol_list(spark, sf_dir).join(last, "symbol", "left")
     variance = F.coalesce("current_variance", F.lit(0.3))
     return present(Q.gamma(symbols, held, fixtures.symbol_rules(spark, sf_dir), variance), "symbol", "gamma")
@@ -165,7 +165,7 @@ def q_gamma(spark, sf_dir):
     + f"select symbol, {S.rounded('coalesce(trunc(qty), 1.0)', 'inventory')} from wanted left join positions using (symbol)",
 )
 def q_inventory(spark, sf_dir):
-    return present(Q.inventory(fixtures.symbol_list(spark, sf_dir), fixtures.positions(spark, sf_dir)))
+    return present(Q.inventory(fixtures.symbol_list(spark, sf_dir), fixtures.held(spark, sf_dir)))
 
 
 # ---- quote model over hourly bars -----------------------------------------------------------

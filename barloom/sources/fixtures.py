@@ -124,15 +124,19 @@ def book_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `positions` says of quantities and entry prices; a symbol that has lines has both."""
     li = table(spark, sf_dir, "lineitem")
     signed = F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).when(
         F.col("l_returnflag") == "R", -F.col("l_quantity")
     )
-    held = li.groupBy(_supplier_symbol().alias("symbol")).agg(
+    return li.groupBy(_supplier_symbol().alias("symbol")).agg(
         F.coalesce(F.sum(signed), F.lit(0.0)).alias("qty"),
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("avg_entry_price"),
     )
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc(), F.col("seq").desc())
     last_two = trades_daily(spark, sf_dir).withColumn("_r", F.row_number().over(newest)).filter("_r <= 2")
     prices = last_two.groupBy("symbol").agg(
@@ -140,7 +144,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("_r") == 2, F.col("price"))).alias("prior_price"),
     )
     qty = F.col("qty")
-    return held.join(prices, "symbol").select(
+    return held(spark, sf_dir).join(prices, "symbol").select(
         "symbol",
         "qty",
         F.when(qty < 0, "SHORT").otherwise("LONG").alias("side"),

@@ -244,3 +244,19 @@ def test_streamed_rsi_with_late_and_repeated_bars(spark):
     got = spark.read.parquet(out).orderBy("bar_ts").toPandas()
     want = rsi(bars, 3600, ["close"]).orderBy("bar_ts").toPandas()
     assert len(got) == n and np.allclose(got["rsi"], want["rsi_close"], equal_nan=True)
+
+
+def test_newest_bars_equal_the_last_of_all_bars(spark):
+    """Gaps before, at and after the first bin wanted; a symbol with fewer bars; a lone trade long before."""
+    import numpy as np
+
+    from barloom.operators.bars import bars, last_bars, newest_bars
+
+    r, rows = np.random.default_rng(5), [("LONE", 0, 1, 9.0, 2.0), ("LONE", 4_000, 2, 8.0, 1.0), ("ONE", 3, 1, 4.0, 1.0)]
+    for s, share in (("DENSE", 0.9), ("HALF", 0.5), ("THIN", 0.1)):
+        rows += [(s, int(b), 10 * int(b) + k, float(r.uniform(1, 9)), float(r.integers(0, 5))) for b in np.flatnonzero(r.random(300) < share) for k in range(2)]
+    trades = spark.createDataFrame(rows, "symbol string, b long, seq long, price double, size double")
+    trades = trades.selectExpr("symbol", "timestamp_seconds(1704067200 + b * 86400 + seq % 7) as ts", "seq", "price", "size")
+    for n in (1, 2, 9, 40):
+        want = sorted(map(tuple, last_bars(bars(trades, 86400, rows=16), n).collect()))
+        assert sorted(map(tuple, newest_bars(trades, 86400, n, rows=16).select("symbol", "bar_ts", "open", "high", "low", "close", "volume").collect())) == want
