@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import cellblocks as C
 from barloom.operators import forest as R
 from barloom.operators import labels as L
 from barloom.operators.model import Params, candidates
@@ -47,7 +48,7 @@ class Inputs:
 
 
 def inputs(cells: DataFrame, bars: DataFrame, period: float, names: Sequence[str], folds: int = 0, gap: int = 1, bins: int = R.BINS) -> Inputs:
-    """Bins, labels and roles of every bar.
+    """Bins, labels and roles of every bar; cells are long or in blocks (see cellblocks.py).
 
     Role 0 is the time split (rows of `valid` only stop the boosting); with `folds`, roles 1, 2, ...
     are the forward-chaining folds. Edges are quantiles of the training rows alone.
@@ -65,9 +66,11 @@ def inputs(cells: DataFrame, bars: DataFrame, period: float, names: Sequence[str
         rows = rows.join(each, ["symbol", "bar_ts"], "left")
         roles += [f"role{k + 1}" for k in range(folds)]
     rows = materialize(rows, "roles")
-    train = cells.join(rows.where("role0 = 1").select("symbol", "bar_ts"), ["symbol", "bar_ts"], "left_semi")
+    learnt = rows.where("role0 = 1").select("symbol", "bar_ts")
+    train = C.of_bars(cells, learnt, period) if C.is_blocks(cells) else cells.join(learnt, ["symbol", "bar_ts"], "left_semi")
     edges = materialize(R.bin_edges(train.where(F.col("feature").isin(*names)) if len(names) <= 100 else train, bins), "edges")
-    binned = R.binned(cells, edges, names).join(rows, ["symbol", "bar_ts"], "left")
+    binned = C.binned(cells, edges, names, period) if C.is_blocks(cells) else R.binned(cells, edges, names)
+    binned = binned.join(rows, ["symbol", "bar_ts"], "left")
     table = R.prepared(binned, LABELS, roles)
     symbols = tuple(sorted(r[0] for r in rows.select("symbol").distinct().collect()))  # names only; models take turns beyond TOGETHER
     return Inputs(rows, table, names, edges, symbols, folds)
@@ -249,12 +252,12 @@ def predict(cells: DataFrame, trees: DataFrame) -> DataFrame:
     return rows.select("symbol", "bar_ts", *empty).mapInArrow(apply, "symbol string, bar_ts timestamp, side string, margin double, pred int")
 
 
-def newest(cells: DataFrame, bars: DataFrame, n: int = 2) -> DataFrame:
-    """Cells of the last n bars of each symbol."""
+def newest(cells: DataFrame, bars: DataFrame, n: int = 2, period: float | None = None) -> DataFrame:
+    """Long cells of the last n bars of each symbol; cells in blocks need the period."""
     last = F.expr(f"slice(sort_array(collect_set(bar_ts), false), 1, {n})")
     top = bars.groupBy("symbol", F.window("bar_ts", "30 days").alias("_w")).agg(last.alias("t")).groupBy("symbol").agg(F.flatten(F.collect_list("t")).alias("t"))
     stamps = top.select("symbol", F.explode(F.expr(f"slice(sort_array(t, false), 1, {n})")).alias("bar_ts"))
-    return cells.join(stamps, ["symbol", "bar_ts"], "left_semi")
+    return C.of_bars(cells, stamps, period) if C.is_blocks(cells) else cells.join(stamps, ["symbol", "bar_ts"], "left_semi")
 
 
 def orders_input(predictions: DataFrame, desk: DataFrame) -> DataFrame:

@@ -148,26 +148,28 @@ def col_detrend(long: DataFrame, period: float, rows: int = BLOCK_ROWS) -> DataF
         "_n": F.count(y), "_mx": F.avg(x), "_my": F.avg(y), "_vx": F.var_pop(x), "_cxy": F.covar_pop(x, y),
     }
 
-    def scan(part: DataFrame) -> DataFrame:
-        every = Window.partitionBy(*f.keys)
-        over = lambda c: F.sum(c).over(every)
-        n = F.col("_n")
-        part = part.select(
-            "*",
-            F.try_divide(over(n * F.col("_mx")), over(n)).alias("_gx"),
-            F.try_divide(over(n * F.col("_my")), over(n)).alias("_gy"),
-        )
-        dx, dy = F.col("_mx") - F.col("_gx"), F.col("_my") - F.col("_gy")
-        slope = F.try_divide(over(n * (F.col("_cxy") + dx * dy)), over(n * (F.col("_vx") + dx * dx)))
-        return part.select(*f.keys, "_b", "_gx", "_gy", F.coalesce(slope, F.lit(0.0)).alias("_slope"))
-
-    f = f.carry_with(totals, scan)
+    f = f.carry_with(totals, lambda part: lines(part, f.keys))
     f = f.add(_rise=F.col("_slope") * (F.col("_i") - F.col("_gx")))
     left = F.col("value") - (F.col("_gy") + F.col("_rise"))
     noise = F.abs(left) <= ROUNDING * F.greatest(F.abs("value"), F.abs("_gy") + F.abs("_rise"))
     return f.add(detrended=F.when(noise, 0.0).otherwise(left)).drop("_gx", "_gy", "_slope", "_rise").own()
 
 
+def lines(part: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each series' straight line from its blocks' moments, beside every block."""
+    every = Window.partitionBy(*keys)
+    over = lambda c: F.sum(c).over(every)
+    n = F.col("_n")
+    part = part.select(
+        "*",
+        F.try_divide(over(n * F.col("_mx")), over(n)).alias("_gx"),
+        F.try_divide(over(n * F.col("_my")), over(n)).alias("_gy"),
+    )
+    dx, dy = F.col("_mx") - F.col("_gx"), F.col("_my") - F.col("_gy")
+    slope = F.try_divide(over(n * (F.col("_cxy") + dx * dy)), over(n * (F.col("_vx") + dx * dx)))
+    return part.select(*keys, "_b", "_gx", "_gy", F.coalesce(slope, F.lit(0.0)).alias("_slope"))
+
+
 def col_extrapolate(long: DataFrame, n: int = 10, ahead: int = 0) -> DataFrame:
     """Straight line through the last n values, one step on. `ahead` shifts the point further."""
     newest = Window.partitionBy(*KEYS).orderBy(F.col("bar_ts").desc())
@@ -191,7 +193,7 @@ def zscore_expanding(long: DataFrame, period: float, rows: int = BLOCK_ROWS) ->
     totals = {
         "_n": F.count(x), "_m": F.avg(x), "_v": F.var_pop(x), "_end": F.max_by(x, F.when(x.isNotNull(), F.col("_i"))),
     }
-    f = f.carry_with(totals, lambda part: _earlier_moments(part, f))
+    f = f.carry_with(totals, lambda part: earlier_moments(part, f))
     f = f.add(_n1=F.count(x).over(f.cum), _m1=F.avg(x).over(f.cum), _v1=F.var_pop(x).over(f.cum))
     zero = F.lit(0.0)
     n0, m0, s0, n1, m1, v1 = (F.coalesce(F.col(c), zero) for c in ("_n0", "_m0", "_s0", "_n1", "_m1", "_v1"))
@@ -207,7 +209,7 @@ def _score(x: Column, n: Column, mean: Column, squares: Column) -> Column:
     return N.div(x - mean, F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))))
 
 
-def _earlier_moments(part: DataFrame, f: Frame) -> DataFrame:
+def earlier_moments(part: DataFrame, f: Frame) -> DataFrame:
     """Count, mean and squared deviations of all earlier blocks together, and the last score there."""
     by_block = Window.partitionBy(*f.keys).orderBy("_b")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rolling as R
 from barloom.functions.numeric import div, finite, ln, sanitize, sqrt
+from barloom.operators import cellblocks as C
 from barloom.operators import decisions as D
 from barloom.operators import features as A
 from barloom.operators import quotes as Q
 from barloom.operators import symbol_models as M
-from barloom.operators import transforms as T
 from barloom.operators.frames import Frame
 from barloom.operators.rsi import rsi_stage
 from barloom.session import materialize
@@ -164,21 +164,25 @@ def columns(base: Sequence[str] = BASE) -> list[str]:
     return [f"{c}{v}" for c in ratios for v in ("", "_savgol", "_smooth_5", "_diff")]
 
 
-def expanded(base: DataFrame, period: float, columns: list[str] | None = None) -> DataFrame:
+def expanded(base: DataFrame, period: float, columns: Sequence[str] | None = None) -> DataFrame:
     """Base columns to all cells: ratios to volume and variance, then smoothing and changes."""
-    long = T.to_long(base, columns or BASE, keep=("volume", "variance"))
-    return T.expand_smooth(materialize(T.expand_ratios(long), "ratios"), period)
+    return C.to_long(C.expand(base, period, columns or BASE), period)
 
 
-def cells(base: DataFrame, period: float, columns: list[str] | None = None, p: float = 0.10) -> DataFrame:
-    """Normalised cells, the model's input in long form."""
-    return T.normalise(materialize(expanded(base, period, columns), "expanded"), period, p)
+def cell_blocks(base: DataFrame, period: float, columns: Sequence[str] | None = None, p: float = 0.10) -> DataFrame:
+    """Normalised cells, the model's input, in blocks (see cellblocks.py)."""
+    return C.normalise(C.expand(base, period, columns or BASE), p)
+
+
+def cells(base: DataFrame, period: float, columns: Sequence[str] | None = None, p: float = 0.10) -> DataFrame:
+    """Normalised cells in long form."""
+    return C.to_long(cell_blocks(base, period, columns, p), period)
 
 
 def predictions(cells: DataFrame, bars: DataFrame, period: float, trees: int = 100, patience: int = 15, last: int = 2) -> DataFrame:
     """Models of every symbol and side on the normalised cells, and what they say of the last bars."""
     data = M.inputs(cells, bars, period, columns())
-    return M.predict(M.newest(cells, bars, last), M.tree_rows(data, M.train(data, trees, patience)))
+    return M.predict(M.newest(cells, bars, last, period), M.tree_rows(data, M.train(data, trees, patience)))
 
 
 def orders(predicted: DataFrame, desk: DataFrame) -> DataFrame:

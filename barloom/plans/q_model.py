@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import cellblocks as C
 from barloom.operators import labels as L
 from barloom.operators import forest as R
 from barloom.operators import symbol_models as M
@@ -23,9 +24,9 @@ KEEP = 30
 
 
 def chain(spark, sf_dir):
-    """Base table and normalised cells, both written."""
+    """Base table and normalised cells in blocks, both written."""
     bars = base(spark, sf_dir)
-    return bars, shared("cells", spark, sf_dir, lambda: materialize(batch.cells(bars, HOUR), "cells"))
+    return bars, shared("cells", spark, sf_dir, lambda: materialize(batch.cell_blocks(bars, HOUR), "cells"))
 
 
 def fitted(spark, sf_dir):
@@ -80,7 +81,7 @@ def ml_search(spark, sf_dir):
 def ml_predict(spark, sf_dir):
     """Predictions of both sides' models for the last two bars per symbol, from their cells."""
     bars, cells, data, models = fitted(spark, sf_dir)
-    return present(M.predict(M.newest(cells, bars, 2), M.tree_rows(data, models)))
+    return present(M.predict(M.newest(cells, bars, 2, HOUR), M.tree_rows(data, models)))
 
 
 @query("sink_model")
@@ -89,7 +90,7 @@ def sink_model(spark, sf_dir):
     bars, cells, data, models = fitted(spark, sf_dir)
     root = new_path(spark, "models")
     M.save(M.tree_rows(data, models), root)
-    again = M.predict(cells, M.load(spark, root))
+    again = M.predict(C.to_long(cells, HOUR), M.load(spark, root))
     both = again.join(scored(data, models).select("symbol", "side", "bar_ts", F.col("pred").alias("fitted_pred")), ["symbol", "side", "bar_ts"])
     return present(both)
 
