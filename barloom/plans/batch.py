@@ -26,7 +26,7 @@ KEEP = 9
 RSI_COLUMNS = ("open", "close", "volume", "D_vwap")
 
 # Names of the base columns, in the order of the batch form.
-BASE = (
+BASE = [
     "open",
     "high",
     "low",
@@ -84,7 +84,7 @@ BASE = (
     "a_derivative",
     "indefinite_integral",
     "indefinite_integral2",
-)
+]
 
 
 def base_features(bars: DataFrame, period: float, rows: int = ROWS) -> DataFrame:
