@@ -7,6 +7,7 @@ a arrival rate. All but the inputs are projections, so they stay in generated co
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -279,7 +280,10 @@ WIDEST = 1e12
 SERIES = 0.01  # least size that a step is measured by
 LINE, TERMS = 0.5, 13  # with an offset, rates below this are summed as series of so many terms, as the closed forms cancel there
 STEPS = 100
-NEAR = 1e-12  # step, by the rate's size, at which a rate counts as found
+NEAR = 1e-12  # share of the squares that counts as nothing
+STILL = 1e-13  # step, by the rate's size, at which a rate counts as found and is left alone
+PART = 4096  # distances of a symbol that are met by one row of rates, about
+FEW = 50_000  # rows of rates that are broadcast at most, a few MB; more of them meet the distances in a shuffle
 
 
 def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
@@ -289,7 +293,9 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
     of a symbol's distances. Rates of either sign and 0 are compared, further ones as long as the
     outermost is best; between the neighbours of the best one, Newton steps look for the rate where
     the error's slope is 0, and halve the bracket where a step would leave it. Every step is one
-    aggregation over the distances, in which orders enter as count, sum and sum of squares.
+    aggregation over the distances of the symbols still open, in which orders enter as count, sum and
+    sum of squares. Distances carry what is known of their symbol, so that rates are tried without a
+    join; a symbol with many is dealt into parts, and its rate comes to each of them.
 
     Symbols need two distances (three with `offset`); those with one have rate 0 and no row with
     `offset`. Where the error falls for ever as the rate grows, the least of the rates compared is
@@ -303,50 +309,64 @@ def decay_fit(durations: DataFrame, offset: bool = False) -> DataFrame:
     points = materialize(points.filter("n > 0 and x is not null"), "distances")
     # `mid` is near the mean duration, and short, so that taking it off the sums of a distance is exact
     mid = (F.sum("d") / F.sum("n")).cast("float").cast("double") if offset else F.lit(0.0)
-    span = points.groupBy("symbol").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("x").alias("k"), mid.alias("mid"))
+    parts = F.ceil(F.count("x") / PART).cast("int")
+    span = points.groupBy("symbol").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("x").alias("k"), parts.alias("parts"), mid.alias("mid"))
     span = materialize(span.filter("k > 2") if offset else span, "spans")
+    part = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")
+    points = materialize(points.join(span.drop("k").hint("merge"), "symbol").withColumn("part", part), "points")
 
-    def sums(state: DataFrame) -> DataFrame:
-        """Sums over the distances for each (symbol, rate) of the state, and from them fit and slope of the error."""
-        return _slopes(_decay_sums(points.join(state, "symbol"), offset, [c for c in state.columns if c != "symbol"]), offset)
+    def tries(rates: Sequence[float]) -> DataFrame:
+        """What each of the rates explains, for every symbol with a span."""
+        p = points.filter("x1 > x0").withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
+        at = _slopes(_decay_sums(p, offset, ["parts"]), offset)
+        return materialize(at.select("symbol", "parts", "rate", "d", "dd", "explained"), "rates")
 
-    spread = lambda rates: span.filter("x1 > x0").withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
+    def sums(state: DataFrame, size: int, keep: list[str]) -> DataFrame:
+        """Sums over the distances for each symbol of the state at its rate, and from them fit and slope of the error."""
+        rates = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return _slopes(_decay_sums(points.join(rates.hint("broadcast" if size <= FEW else "merge"), ["symbol", "part"]), offset, keep), offset)
+
+    size = lambda state: state.agg(F.sum("parts")).first()[0] or 0
     tried = [float(r) for r in RATES]
-    grid = materialize(sums(spread(tried)), "rates")
+    grid = tries(tried)
     while True:
         top = max(map(abs, tried))
         best = grid.groupBy("symbol").agg(
             F.max_by("rate", F.struct("explained", -F.abs("rate"), "rate")).alias("rate"), F.max("explained").alias("most"), F.max("dd").alias("all"),
-            F.max(F.when(F.abs("rate") >= top, F.col("explained"))).alias("far"), F.max("d").alias("d"),
+            F.max(F.when(F.abs("rate") >= top, F.col("explained"))).alias("far"), F.max("d").alias("d"), F.max("parts").alias("parts"),
         )
         rising = (F.col("far") >= F.col("most") - NEAR * F.col("all")) & (F.col("d") != 0)
         if top >= WIDEST or best.filter(rising).isEmpty():
             break
         wider = [s * top * WIDEN ** (k / 4) for k in (1, 2, 3, 4) for s in (1.0, -1.0)]
         tried += wider
-        grid = grid.union(materialize(sums(spread(wider)), "rates"))
+        grid = grid.union(tries(wider))
     order = sorted(tried)
     low = F.create_map(*[F.lit(float(x)) for pair in zip(order, [order[0], *order[:-1]], strict=True) for x in pair])
     high = F.create_map(*[F.lit(float(x)) for pair in zip(order, [*order[1:], order[-1]], strict=True) for x in pair])
-    limit = grid.join(best.filter(rising).select("symbol", "most", "all"), "symbol").filter(F.col("explained") >= F.col("most") - NEAR * F.col("all"))
-    limit = span.join(limit.groupBy("symbol").agg(F.min_by("rate", F.struct(F.abs("rate"), -F.col("rate"))).alias("rate")), "symbol")
-    best = best.filter(~rising).select("symbol", F.when(F.col("d") == 0, 0.0).otherwise(F.col("rate")).alias("rate"))
+    limit = grid.join(best.filter(rising).select("symbol", "most", "all").hint("merge"), "symbol").filter(F.col("explained") >= F.col("most") - NEAR * F.col("all"))
+    limit = limit.groupBy("symbol", "parts").agg(F.min_by("rate", F.struct(F.abs("rate"), -F.col("rate"))).alias("rate"))
+    best = best.filter(~rising).select("symbol", "parts", F.when(F.col("d") == 0, 0.0).otherwise(F.col("rate")).alias("rate"))
     best = best.withColumns({"lo": low[F.col("rate")], "hi": high[F.col("rate")]})
-    state = materialize(span.join(best, "symbol").withColumn("moved", F.lit(1.0)), "bracket")
+    state = materialize(best.withColumn("moved", F.lit(1.0)), "bracket")
+    moving = F.col("moved") > STILL
     for _ in range(STEPS):
-        at = sums(state)
+        left = size(state.filter(moving))
+        if not left:
+            break
+        at = sums(state.filter(moving), left, ["parts", "lo", "hi"])
         lo, hi = F.when(F.col("slope") > 0, F.col("rate")).otherwise(F.col("lo")), F.when(F.col("slope") > 0, F.col("hi")).otherwise(F.col("rate"))
         newton = F.col("rate") - F.try_divide("slope", "curve")
         at = at.withColumns({"lo": lo, "hi": hi, "_to": newton})
         inside = (F.col("_to") > F.col("lo")) & (F.col("_to") < F.col("hi")) & (F.col("curve") < 0)
-        to = F.when(F.col("slope") == 0, F.col("rate")).when(inside, F.col("_to")).otherwise((F.col("lo") + F.col("hi")) / 2)
+        still = (F.col("slope") == 0) | ((F.col("_to") == F.col("rate")) & (F.col("curve") < 0))  # else a rate found would leave for its bracket's middle
+        to = F.when(still, F.col("rate")).when(inside, F.col("_to")).otherwise((F.col("lo") + F.col("hi")) / 2)
         moved = F.abs(to - F.col("rate")) / F.greatest(F.abs(to), F.lit(SERIES))
-        state = at.select(*span.columns, "lo", "hi", to.alias("rate"), moved.alias("moved"))
-        state = materialize(state, "bracket")
-        if state.filter(F.col("moved") > NEAR).isEmpty():
-            break
-    flat = span.filter("x1 = x0").withColumn("rate", F.lit(0.0))
-    done = sums(state.select(*span.columns, "rate").unionByName(flat).unionByName(limit.select(*span.columns, "rate")))
+        at = at.select("symbol", "parts", to.alias("rate"), "lo", "hi", moved.alias("moved"))
+        state = materialize(at.unionByName(state.filter(~moving.eqNullSafe(True))), "bracket")
+    flat = span.filter("x1 = x0").select("symbol", "parts", F.lit(0.0).alias("rate"))
+    done = state.select("symbol", "parts", "rate").unionByName(flat).unionByName(limit)
+    done = sums(done, size(span), ["x0", "x1"])
     wide = F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0")).otherwise(1.0)
     error = F.col("dd") - F.col("explained")
     done = done.withColumns({"kappa": F.col("rate") / wide, "sse": F.when(error > NEAR * F.col("dd"), error).otherwise(0.0)})
@@ -367,6 +387,8 @@ def _near_end() -> Column:
 def _decay_sums(points: DataFrame, offset: bool, keep: list[str]) -> DataFrame:
     """Sums per symbol and rate of the curve, its first two derivatives by the rate, and their products.
 
+    `keep` are columns that a symbol has one value of at each rate.
+
     u is the distance from the near end by the span, so exp(-rate u) is 1 at most. The curve is
     e = exp(-rate u). With offset and near rate 0, where e is all but constant, (1 - e) / rate spans the
     same fits and is u at rate 0; at large rates that one in turn is all but a multiple of its
@@ -392,8 +414,7 @@ def _decay_sums(points: DataFrame, offset: bool, keep: list[str]) -> DataFrame:
         p = p.withColumns({"f": e, "g": -u * e, "h": u * u * e})
     p = p.withColumn("y", F.col("d") - F.col("n") * F.col("mid"))
     n, d, y, f, g, h = (F.col(c) for c in ("n", "d", "y", "f", "g", "h"))
-    rest = [c for c in keep if c != "rate"]
-    return p.groupBy("symbol", "rate", *rest).agg(
+    return p.groupBy("symbol", "rate", *keep).agg(
         F.sum(n).alias("n"), F.sum(d).alias("d"), F.sum("dd").alias("dd"), F.sum(y).alias("y"),
         F.sum(n * f).alias("f"), F.sum(n * g).alias("g"), F.sum(n * h).alias("h"),
         F.sum(y * f).alias("yf"), F.sum(y * g).alias("yg"), F.sum(y * h).alias("yh"),

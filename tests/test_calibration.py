@@ -107,3 +107,30 @@ def test_digits_of_weak_trends(spark):
         kappa, a = exact([(i + 1) / 100 for i in range(7)], [30] * 7, data[g.symbol].sum(1).tolist(), g.kappa)
         assert g.kappa == pytest.approx(kappa, rel=1e-11) and g.a == pytest.approx(a, rel=1e-11), g.symbol
     assert seen > 10
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("offset", [False, True])
+def test_symbols_are_not_broadcast(spark, monkeypatch, offset):
+    """No plan brings a row per symbol through the driver where they are many, and symbols dealt into parts come out right."""
+    rates, rows = {f"s{k}": (0.5 + k % 5) * (-1) ** k for k in range(30)}, []
+    for s, k in rates.items():
+        x = np.arange(1, 5 + int(abs(k))) / 10
+        rows += [(s, v, 20 * np.exp(-k * v) + (3 if offset else 0)) for v in x]
+    rows += [("far", 1, 5), ("far", 2, 0), ("far", 3, 0), ("one", 1, 4), (None, 1, 2), (None, 2, 1), (None, 3, 4)]
+    plans, write = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, label: plans.append((label, planned(df))) or write(df, label))
+    monkeypatch.setattr(Q, "FEW", 0, raising=False)
+    monkeypatch.setattr(Q, "PART", 3, raising=False)
+    fit = Q.decay_fit(orders(spark, rows), offset=offset)
+    plans.append(("fit", planned(fit)))
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+    got = {g.symbol: g for g in fit.collect()}
+    assert got.keys() == rates.keys() | {"far"} | (set() if offset else {"one"})
+    for s, k in rates.items():
+        assert got[s].kappa == pytest.approx(k, rel=1e-6) and got[s].a == pytest.approx(20, rel=1e-5) and got[s].sse < 1e-6, s
+    assert got["far"].kappa > 10 and got["far"].sse == 0
+    assert offset or (got["one"].kappa, got["one"].a, got["one"].sse) == (0.0, 4.0, 0.0)
